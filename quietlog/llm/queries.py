@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from quietlog.llm.packing import op6_best_fit_packing
 from quietlog.llm.sharding import op3_feistel_shards
+from quietlog.llm.toxicity import op4_ftrl_toxicity
 from quietlog.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op3_feistel_shards, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_feistel_shards, op4_ftrl_toxicity, op6_best_fit_packing, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}

@@ -13,6 +13,9 @@ U64 = np.uint64
 #: The bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
 GAP = np.zeros(256, bool)
 GAP[[0x20, 9, 10, 11, 12, 13]] = True
+#: Gaps of a split that leaves punctuation out as well: all of ASCII but letters, digits and the apostrophe.
+PUNCTUATED = np.zeros(256, bool)
+PUNCTUATED[[i for i in range(128) if not (chr(i).isalnum() or chr(i) == "'")]] = True
 _RNG = np.random.default_rng(20260)
 #: A random odd 64-bit value per byte.
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -65,7 +68,8 @@ def span(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Batch:
     """Texts in one buffer, split into words. A null text has no words."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = False, gaps: np.ndarray = GAP):
+        self.gaps = gaps
         raw = [(t.lower() if lower else t).encode("utf-8", "surrogatepass") if t is not None else b"" for t in texts]
         self.raw = b"\n".join(raw) + b"\n"
         self.n = len(raw)
@@ -73,7 +77,7 @@ class Batch:
         self.doc_at = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]  # first byte of each text
         self.doc_end = self.doc_at + sizes
         self.bytes = np.frombuffer(self.raw, np.uint8)
-        gap = GAP[self.bytes]
+        gap = gaps[self.bytes]
         inside = ~gap
         self.start = np.flatnonzero(inside & np.concatenate([[True], gap[:-1]]))
         self.end = np.flatnonzero(inside & np.concatenate([gap[1:], [True]])) + 1
@@ -81,19 +85,20 @@ class Batch:
         self.first = np.searchsorted(self.start, np.concatenate([self.doc_at, [len(self.raw)]]))
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial in its bytes, relative to its start, so no power exceeds the longest word."""
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first most bytes: a polynomial in its bytes, relative to its start, so no power exceeds the longest word."""
         if not len(self.start):
             return np.zeros(0, U64)
         size = self.end - self.start
-        bounds = np.empty(2 * len(self.start), np.int64)
-        bounds[::2], bounds[1::2] = self.start, self.end
-        at = np.arange(len(self.bytes)) - np.repeat(self.start, np.diff(np.append(self.start, len(self.bytes)))) if self.start[0] == 0 else None
-        if at is None:
-            lead = int(self.start[0])
-            at = np.concatenate([np.zeros(lead, np.int64), np.arange(lead, len(self.bytes)) - np.repeat(self.start, np.diff(np.append(self.start, len(self.bytes))))])
-        inside = ~GAP[self.bytes]
+        lead = int(self.start[0])
+        at = np.arange(len(self.bytes))
+        at[:lead] = 0
+        at[lead:] -= np.repeat(self.start, np.diff(np.append(self.start, len(self.bytes))))
+        inside = ~self.gaps[self.bytes]
         at[~inside] = 0
+        if most:
+            inside &= at < most
+            at[~inside] = 0
         values = BYTE[self.bytes] * powers(int(size.max()) + 1)[at]
         values[~inside] = 0
         return mix(np.add.reduceat(values, self.start))
