@@ -125,32 +125,43 @@ class Index:
         return float(found.mean()), float(found[:answer].mean()), float(found[max(0, answer - SHINGLE + 1) :].mean())
 
 
+def indexes(spark, items: DataFrame) -> list:
+    """Broadcast lists of Index over all items, each list of about INDEX_BYTES of item text, however many items there are."""
+    items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, out = max(1, -(-total // INDEX_BYTES)), []
+    for part in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
+        out.append(spark.sparkContext.broadcast([Index.of([(r.item_id, r.text) for r in rows[at : at + 512]]) for at in range(0, len(rows), 512)]))
+    return out
+
+
+def leaks(texts: list[str | None], index: list[Index | None]) -> dict[tuple[int, int, int], tuple[float, float, float, float]]:
+    """(text, index, item): (overlap, score, question's overlap, answer's overlap), of the best passage, for all that leaked."""
+    b = Batch(texts, lower=True, gaps=PUNCTUATED)
+    h, found = b.hashes(), {}
+    for k, one in enumerate(index):
+        for d, lo, hi, item, score in one.search(h, b.first) if one else ():
+            shares = one.overlaps(item, h[lo:hi])
+            if shares[0] >= OVERLAP - 1e-9 and min(shares[1:]) >= PART_OVERLAP - 1e-9:
+                found[d, k, item] = max(found.get((d, k, item), (0.0,)), (shares[0], score, *shares[1:]))
+    return found
+
+
 def matched(docs: DataFrame, items: DataFrame, carry: str = "doc_id") -> DataFrame:
     """Per document and item that leaked into it: doc_id, item_id, score, overlap, question_overlap, answer_overlap (of the best passage).
 
     Words are compared lower-cased, without ASCII punctuation. An item leaks where a passage holds OVERLAP of its shingles, and PART_OVERLAP of those of
     its question (all but the last sentence) and of its answer (the last); an item of one sentence is both. Items without words (null, empty) never
     leak; null and empty documents hold none. Repeated items are reported each, repeated rows give repeated results; a null doc_id stays null. Other columns are not read."""
-    spark = docs.sparkSession
     kind = items.schema["item_id"].dataType.simpleString()
-    items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // INDEX_BYTES))
     schema = f"doc_id long, item_id {kind}, score double, overlap double, question_overlap double, answer_overlap double"
     out = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()  # about INDEX_BYTES of text
-        index = spark.sparkContext.broadcast([Index.of([(r.item_id, r.text) for r in rows[at : at + 512]]) for at in range(0, len(rows), 512)])
+    for index in indexes(docs.sparkSession, items):
 
         def run(it: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for pdf in pieces(it, most=1 << 20):
-                b = Batch(pdf.text.tolist(), lower=True, gaps=PUNCTUATED)
-                h, found = b.hashes(), {}
-                for k, one in enumerate(index.value):
-                    for d, lo, hi, item, score in one.search(h, b.first) if one else ():
-                        shares = one.overlaps(item, h[lo:hi])
-                        if shares[0] >= OVERLAP - 1e-9 and min(shares[1:]) >= PART_OVERLAP - 1e-9:
-                            found[d, k, item] = max(found.get((d, k, item), (0.0,)), (shares[0], score, *shares[1:]))
+                found = leaks(pdf.text.tolist(), index.value)
                 ids = pdf.doc_id.astype("Int64").array
                 yield pd.DataFrame(
                     {"doc_id": pd.array([ids[d] for d, _, _ in found], dtype="Int64"), "item_id": [index.value[k].ids[i] for _, k, i in found], "score": [round(v[1], 6) for v in found.values()],
@@ -162,6 +173,26 @@ def matched(docs: DataFrame, items: DataFrame, carry: str = "doc_id") -> DataFra
     return out
 
 
+def leaked_into(index):
+    """A test of texts: whether an item of this broadcast list of indexes leaked into it."""
+
+    def leaked(text: pd.Series) -> pd.Series:
+        out, at = np.zeros(len(text), bool), 0
+        for part in pieces([pd.DataFrame({"text": text})], most=1 << 20):
+            out[[at + d for d, _, _ in leaks(part.text.tolist(), index.value)]] = True
+            at += len(part)
+        return pd.Series(out)
+
+    return F.pandas_udf(leaked, "boolean")
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs, all columns, without the rows into which an item leaked."""
+    for index in indexes(docs.sparkSession, items):
+        docs = docs.where(~leaked_into(index)(F.col("text").cast("string")))
+    return docs
+
+
 def op1_bm25_decontamination(spark, sf_dir):
     """Leaks of all benchmark items into all documents."""
     return matched(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietlog.llm.graph import components
-from quietlog.llm.repeats import LAST, bitmap
+from quietlog.llm.repeats import DID, LAST, TH, bitmap, keyed, named_rows, parted
 from quietlog.llm.store import written
 from quietlog.llm.textcore import BASE, PUNCTUATED, U64, Batch, grams, mix, pieces
 
@@ -105,16 +105,16 @@ def bands(signature: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """did, node (a hash of the words) and bands (empty without words), a row per row."""
+    """did, th (a hash of the text), node (a hash of the words) and bands (empty without words), a row per row."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(it, most=1 << 20):
             of, found, count, node = shingle_sets(pdf.text.tolist())
             keys = bands(darts(of, found, np.ones(len(of)), len(pdf)))
             some = np.bincount(of, minlength=len(pdf)) > 0
-            yield pd.DataFrame({"did": pdf.did.to_numpy(), "node": node.view(np.int64), "bands": [k if s else k[:0] for k, s in zip(keys, some, strict=True)]})
+            yield pd.DataFrame({"did": pdf.did.to_numpy(), "th": pdf.th.to_numpy(), "node": node.view(np.int64), "bands": [k if s else k[:0] for k, s in zip(keys, some, strict=True)]})
 
-    return docs.select("did", "text").mapInPandas(run, "did long, node long, bands array<long>")
+    return keyed(docs).select("did", "th", "text").mapInPandas(run, "did long, th long, node long, bands array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -129,13 +129,12 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least doc_id of its class; null if all are null) and node (which texts have the same words).
+    """One row per row of docs: did (doc_id, null as the last), th (a hash of the text), class_did (the least did of its class) and class_node (the class).
 
     Words are compared lower-cased, without ASCII punctuation. Texts with the same words are one class; texts without words (null, empty, blank) are
     copies of each other. Two texts are linked at a Jaccard similarity of their five-word shingles of at least similar, and classes are what
     links join. Repeated rows and doc_ids are rows each. Other columns are not read."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.col("text").cast("string").alias("text"))
-    every = written(signed(rows), "near-signed")
+    every = written(signed(docs), "near-signed")
     nodes = written(every.groupBy("node").agg(F.min("did").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
     spread = nodes.select("node", "rep", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).where("members > 1")
@@ -149,13 +148,8 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             cut = np.searchsorted(of, np.arange(len(pdf) + 1))
             yield pd.DataFrame({"rep": pdf.did.to_numpy(), "node": node.view(np.int64), "shingles": [found[lo:hi].view(np.int64) for lo, hi in zip(cut, cut[1:], strict=False)]})
 
-    bits = bitmap(wanted, "rep")
-    held = rows.withColumn("rep", F.col("did"))
-    spot = F.pmod(F.xxhash64("rep"), F.lit(len(bits) * 64))
-    words = np.flatnonzero(bits)
-    table = docs.sparkSession.createDataFrame(pd.DataFrame({"word": words, "bits": bits[words]}), "word long, bits long")
-    held = held.join(F.broadcast(table), F.shiftright(spot, 6) == F.col("word")).where(F.expr(f"shiftright(bits, cast(pmod(xxhash64(rep), {len(bits) * 64}) & 63 as int)) & 1 = 1"))
-    sets = written(held.select("did", "text").mapInPandas(run, "rep long, node long, shingles array<long>").join(wanted, ["rep", "node"]).dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
+    held, _ = parted(keyed(docs).select("did", "text"), bitmap(wanted, "rep"), "did")
+    sets = written(held.mapInPandas(run, "rep long, node long, shingles array<long>").join(wanted, ["rep", "node"]).dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
 
     tried = written(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-tried")
     links = written(verified(tried, sets, similar), "near-links")
@@ -182,11 +176,26 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             of = components(links)
             break
     named = nodes.select("node", "rep").join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("rep").alias("class"))
-    named = named.join(least, "label").select("node", "class")
-    return every.select("did", "node").join(named, "node").select(F.nullif("did", F.lit(LAST)).alias("doc_id"), F.nullif("class", F.lit(LAST)).alias("class_id"), "node")
+    least = named.groupBy("label").agg(F.min("rep").alias("class_did"))
+    named = named.join(least, "label").select("node", "class_did", F.col("label").alias("class_node"))
+    return every.select("did", "th", "node").join(named, "node").drop("node")
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """docs, all columns, with one row of each class: that of the least doc_id, of equal ones the least by a hash of the text.
+
+    Only rows that go, rows that repeat in full, and a few more are shuffled with their texts."""
+    every = written(classes(docs, similar), "near-classes")
+    first = every.groupBy("class_node").agg(F.min(F.struct("did", "th")).alias("first")).select("class_node", "first")
+    marked = every.join(first, "class_node").select("did", "th", (F.struct("did", "th") == F.col("first")).alias("stays"))
+    judged = marked.groupBy("did", "th").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+    gone = written(judged.where("not stays or times > 1").select(F.col("did").alias(DID), F.col("th").alias(TH), "stays"), "near-gone")
+    hit, rest = parted(named_rows(docs), bitmap(gone, DID, TH), DID, TH)
+    hit = hit.join(gone.where("not stays").select(DID, TH), [DID, TH], "left_anti").dropDuplicates([DID, TH])
+    return hit.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def op9_dart_minhash_dedup(spark, sf_dir):
     """Near-duplicate classes of all documents."""
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id")
+    found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select(F.nullif("did", F.lit(LAST)).alias("doc_id"), F.nullif("class_did", F.lit(LAST)).alias("class_id"))

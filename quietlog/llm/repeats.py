@@ -33,6 +33,8 @@ HOT = 512
 PER_SHARD = 800
 BITMAP = 1 << 22
 LAST = 2**63 - 1
+#: Names of our own columns beside a caller's.
+DID, TH, SPANS, WORD, BITS_OF = "__quietlog_did", "__quietlog_th", "__quietlog_spans", "__quietlog_word", "__quietlog_bits"
 
 
 def fragments(values: np.ndarray, first: np.ndarray, size: int, k: int) -> tuple[np.ndarray, ...]:
@@ -101,15 +103,15 @@ def bitmap(df: DataFrame, *columns: str) -> np.ndarray:
     return out
 
 
-def parted(docs: DataFrame, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs (with did and th) whose bit is set, and the others."""
-    spark = docs.sparkSession
+def parted(rows: DataFrame, bits: np.ndarray, *on: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose bit is set by a hash of the columns on, and the others. All other columns stay, whatever their names."""
+    spark = rows.sparkSession
     words = np.flatnonzero(bits)
-    table = F.broadcast(spark.createDataFrame(pd.DataFrame({"word": words, "bits": bits[words]}), "word long, bits long"))
-    spot = F.pmod(F.xxhash64("did", "th"), F.lit(BITMAP))
-    rows = docs.join(table, F.shiftright(spot, 6) == F.col("word"), "left").drop("word")
-    test = F.expr(f"coalesce(shiftright(bits, cast(pmod(xxhash64(did, th), {BITMAP}) & 63 as int)) & 1, 0) = 1")
-    return rows.where(test).drop("bits"), rows.where(~test).drop("bits")
+    table = F.broadcast(spark.createDataFrame(pd.DataFrame({WORD: words, BITS_OF: bits[words]}), f"{WORD} long, {BITS_OF} long"))
+    spot = F.pmod(F.xxhash64(*on), F.lit(BITMAP))
+    marked = rows.join(table, F.shiftright(spot, 6) == F.col(WORD), "left").drop(WORD)
+    test = F.expr(f"coalesce(shiftright({BITS_OF}, cast(pmod(xxhash64({', '.join(on)}), {BITMAP}) & 63 as int)) & 1, 0) = 1")
+    return marked.where(test).drop(BITS_OF), marked.where(~test).drop(BITS_OF)
 
 
 def fragment_table(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -168,7 +170,7 @@ def verdicts(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
         return live, alone
     shards = max(1, -(-n_met // PER_SHARD))
     wanted = met.groupBy("rep.did", "rep.th").agg(F.collect_list(F.struct("key", "frag", F.col("rep.s").alias("s"), "n", "a", "weight", "kinds")).alias("want"))
-    holders, _ = parted(keyed(docs).select("did", "th", "text"), bitmap(met.select("rep.did", "rep.th"), "did", "th"))
+    holders, _ = parted(keyed(docs).select("did", "th", "text"), bitmap(met.select("rep.did", "rep.th"), "did", "th"), "did", "th")
     holders = holders.join(wanted, ["did", "th"])
     fields = "key long, frag long, n int, a int, weight long, did long"
 
@@ -239,9 +241,20 @@ def covered(n: int, found: list | None) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def with_spans(docs: DataFrame, kind: Kind, carry: list[str] | None = None) -> DataFrame:
-    """Every row of docs with spans (null: nothing to remove). Only texts that lose something, and a few more, are shuffled."""
+def named_rows(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with DID and TH, as keyed() has them."""
+    return docs.withColumns({DID: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), TH: F.xxhash64(F.col("text").cast("string"))})
+
+
+def with_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs, all columns, that may lose something, with SPANS (null: nothing), and the rows that lose nothing. Only the first are shuffled."""
     found = spans(docs, kind)
-    rows = docs.select(*(F.col(c) for c in carry or []), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(F.col("text").cast("string")).alias("th"), *([F.col("doc_id"), F.col("text").cast("string").alias("text")] if not carry else []))
-    hit, rest = parted(rows, bitmap(found, "did", "th"))
-    return hit.join(found, ["did", "th"], "left").unionByName(rest.withColumn("spans", F.lit(None).cast("array<struct<lo:int,hi:int>>"))).drop("did", "th")
+    hit, rest = parted(named_rows(docs), bitmap(found, "did", "th"), DID, TH)
+    found = found.select(F.col("did").alias(DID), F.col("th").alias(TH), F.col("spans").alias(SPANS))
+    return hit.join(found, [DID, TH], "left").drop(DID, TH), rest.drop(DID, TH)
+
+
+def all_with_spans(docs: DataFrame, kind: Kind) -> DataFrame:
+    """doc_id, text, spans of every row."""
+    hit, rest = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), kind)
+    return hit.withColumnRenamed(SPANS, "spans").unionByName(rest.withColumn("spans", F.lit(None).cast("array<struct<lo:int,hi:int>>")))

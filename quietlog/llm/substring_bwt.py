@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietlog.llm.bwt import merged, rotations
-from quietlog.llm.repeats import Kind, covered, runs_of, with_spans
+from quietlog.llm.repeats import SPANS, Kind, all_with_spans, covered, runs_of, with_spans
 from quietlog.llm.textcore import BYTE
 
 SIZE, K, BLOCK, PARTS = 400, 128, 8, 4
@@ -107,7 +107,30 @@ def digest(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf.doc_id.astype("Int64").to_numpy() if len(pdf) else [])
             yield out
 
-    return with_spans(docs, BYTES).select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return all_with_spans(docs, BYTES).mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_text(text: str | None, spans: list | None) -> str | None:
+    """The text without the spans of bytes. A character of which a byte goes, goes."""
+    if text is None or spans is None or not len(spans):
+        return text
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    char = np.cumsum((raw & 0xC0) != 0x80) - 1
+    gone = np.bincount(char, weights=covered(len(raw), spans)) > 0
+    return raw[~gone[char]].tobytes().decode("utf-8", "surrogatepass")
+
+
+def cut_texts(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([cut_text(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with text cut, and n_chars, if there is such a column, counted again. Rows stay, even those of which nothing is left."""
+    hit, rest = with_spans(docs, BYTES)
+    hit = hit.withColumn("text", F.pandas_udf(cut_texts, "string")(F.col("text").cast("string"), F.col(SPANS))).drop(SPANS)
+    if "n_chars" in docs.columns:
+        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return hit.select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def op5_suffix_array_dedup(spark, sf_dir):

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quietlog.llm.bwt import rotations
-from quietlog.llm.repeats import Kind, covered, runs_of, with_spans
+from quietlog.llm.repeats import Kind, all_with_spans, covered, runs_of
 from quietlog.llm.textcore import Batch
 
 WORDS, K = 50, 16
@@ -135,7 +135,7 @@ def digest(docs: DataFrame) -> DataFrame:
                 out.insert(0, "doc_id", part.doc_id.astype("Int64").to_numpy())
                 yield out
 
-    return with_spans(docs, WORD_RUNS).select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return all_with_spans(docs, WORD_RUNS).mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op2_fm_index_dedup(spark, sf_dir):

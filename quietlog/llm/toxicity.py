@@ -131,6 +131,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return scored(rows, train(docs, labels), ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without the rows whose text scores threshold or more."""
+    model = train(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        at, w, bias = shared.value
+        dense = np.zeros(1 << BITS)
+        dense[at] = w
+        for texts in parts:
+            yield pd.Series(np.concatenate([score_texts(p.text.tolist(), dense, bias) for p in pieces([pd.DataFrame({"text": texts})])] or [np.zeros(0)]))
+
+    return docs.where(score(F.col("text").cast("string")) < threshold)
+
+
 def op4_ftrl_toxicity(spark, sf_dir):
     """Every document's toxicity."""
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
