@@ -6,9 +6,9 @@ weight coordinate lies below the weight; the earliest per coordinate is kept. Da
 weighted Jaccard similarity as the chance; only ranks up to (K ln K + 2K) over the total weight are thrown, which fill nearly all coordinates at about that
 many darts a text, however long it is; where one stays empty, the text throws twice as far.
 
-Signatures join by bands. Texts with the same words are one node from the start. In a bucket every node is compared to the least (not all with all); linked nodes
-become classes, and only where a bucket still holds several classes are pairs across them compared, all at once in small buckets, leader after
-leader in large ones, until nothing is open. Every link is verified on the full shingle sets."""
+Signatures join by bands. Texts with the same words are one node from the start. Buckets join nodes to candidate groups, without emitting pairs; a group is compared in one
+task on the full shingle sets, exactly, and gives only the links that join its classes. A group too large for a task is compared bucket by bucket,
+and a large bucket as pairs of blocks, so no task holds an unbounded group and no pair is left out."""
 
 from __future__ import annotations
 
@@ -26,8 +26,8 @@ from quietlog.llm.textcore import BASE, PUNCTUATED, U64, Batch, grams, mix, piec
 
 SHINGLE, SIMILAR = 5, 0.8
 K, BANDS, ROWS = 64, 16, 4
-SMALL_BUCKET = 32
-LEADERS = 8
+#: A candidate group up to this size is compared in one task; a task takes groups of about TASK_SHINGLES shingles.
+GROUP_MEMBERS, GROUP_SHINGLES, TASK_SHINGLES, BLOCK_MEMBERS = 4096, 3_000_000, 400_000, 256
 
 
 def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,18 +117,48 @@ def signed(docs: DataFrame) -> DataFrame:
     return keyed(docs).select("did", "th", "text").mapInPandas(run, "did long, th long, node long, bands array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(one, "a").join(two, "b")
-    na, nb = F.size("sa"), F.size("sb")
-    both = both.where((F.least(na, nb) >= similar * F.greatest(na, nb) - 1e-9))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= similar * (na + nb - common) - 1e-9).select("a", "b")
-
-
-def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def forest(names: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Links (a, b) of sets with at least that Jaccard similarity, enough of them to join every class. All pairs are looked at, one set against all later
+    ones at a time; pairs whose classes are joined already need no link."""
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.cumsum(size) - size
+    parent = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    links, mark = [], np.zeros(int(code.max()) + 1 if len(code) else 1, np.int32)
+    for i in range(len(sets) - 1):
+        later = first[i + 1]
+        mark[code[first[i] : later]] = 1
+        common = np.add.reduceat(mark[code[later:]], first[i + 1 :] - later)
+        mark[code[first[i] : later]] = 0
+        for j in np.flatnonzero(common >= similar * (size[i] + size[i + 1 :] - common) - 1e-9) + i + 1:
+            a, b = root(i), root(int(j))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((int(names[i]), int(names[j])))
+    return links
+
+
+def linked(groups: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) within groups (task, grp, node, shingles); a task holds several groups."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for _, part in pdf.groupby("grp", sort=False):
+            if len(part) > 1:
+                rows += forest(part.node.to_numpy(), [np.asarray(x, np.int64) for x in part.shingles], similar)
+        return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
+
+    return groups.groupBy("task").applyInPandas(run, "a long, b long")
+
+
+def classes(docs: DataFrame, similar: float = SIMILAR, group_members: int = GROUP_MEMBERS) -> DataFrame:
     """One row per row of docs: did (doc_id, null as the last), th (a hash of the text), class_did (the least did of its class) and class_node (the class).
 
     Words are compared lower-cased, without ASCII punctuation. Texts with the same words are one class; texts without words (null, empty, blank) are
@@ -151,30 +181,25 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     held, _ = parted(keyed(docs).select("did", "text"), bitmap(wanted, "rep"), "did")
     sets = written(held.mapInPandas(run, "rep long, node long, shingles array<long>").join(wanted, ["rep", "node"]).dropDuplicates(["node"]).select("node", "shingles"), "near-sets")
 
-    tried = written(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "near-tried")
-    links = written(verified(tried, sets, similar), "near-links")
-    turn = 0
-    while True:
-        of = components(links)
-        state = buckets.join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        many = state.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        # Who leads next in a bucket: its nodes in order; the first has had its turn. Small buckets let all lead at once.
-        order = Window.partitionBy("band").orderBy("node")
-        open_ = state.join(many, "band").withColumn("place", F.row_number().over(order) - 1)
-        leads = open_.where((F.col("place") >= 1) & ((F.lit(turn == 0) & (F.col("members") <= SMALL_BUCKET)) | ((F.col("members") > SMALL_BUCKET) & (F.col("place") > turn * LEADERS) & (F.col("place") <= (turn + 1) * LEADERS))))
-        lead = leads.select("band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("place").alias("pa"))
-        pairs = open_.join(lead, "band").where((F.col("place") > F.col("pa")) & (F.col("label") != F.col("la"))).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "near-tried")
-        more = open_.where((F.col("members") > SMALL_BUCKET) & (F.col("place") > (turn + 1) * LEADERS)).limit(1).count()
-        if pairs.limit(1).count():
-            tried = tried.unionByName(pairs)
-            links = written(links.unionByName(verified(pairs, sets, similar)), "near-links")
-        elif not more:
-            break
-        turn += 1
-        if not more:
-            of = components(links)
-            break
+    # Candidate groups: what buckets join, before any comparison. A node is in one group only, so sets move once.
+    met = components(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+    met = written(met.join(sets, "node"), "near-met")
+    weight = met.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum(F.size("shingles")).alias("weight"))
+    weight = written(weight.withColumn("large", (F.col("members") > group_members) | (F.col("weight") > GROUP_SHINGLES)), "near-groups")
+    total, large = weight.agg(F.sum("weight"), F.count_if("large")).first()
+    tasks = max(1, -(-(total or 0) // TASK_SHINGLES))
+    small = met.join(weight.where("not large").select("label"), "label")
+    links = linked(small.select(F.pmod(F.xxhash64("label"), F.lit(tasks)).alias("task"), F.col("label").alias("grp"), "node", "shingles"), similar)
+    if large:
+        # A group too large for a task goes bucket by bucket, a large bucket as pairs of blocks: each pair of nodes of a bucket meets in some task.
+        own = met.join(weight.where("large").select("label"), "label").select("node", "shingles")
+        place = F.row_number().over(Window.partitionBy("band").orderBy("node")) - 1
+        size = min(BLOCK_MEMBERS, group_members)
+        parts = buckets.join(own.select("node"), "node").withColumn("block", F.floor(place / size)).withColumn("blocks", F.ceil(F.col("members") / size))
+        parts = parts.select("band", "node", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other"))
+        task = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
+        links = links.unionByName(linked(parts.join(own, "node").select(task.alias("task"), task.alias("grp"), "node", "shingles"), similar))
+    of = components(written(links, "near-links"))
     named = nodes.select("node", "rep").join(of, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_did"))
     named = named.join(least, "label").select("node", "class_did", F.col("label").alias("class_node"))
