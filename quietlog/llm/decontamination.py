@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.textcore import PUNCTUATED, Batch, grams, pieces
+from quietlog.llm.textcore import PUNCTUATED, BATCH, Batch, grams, pieces, small_batches
 
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
 K1, B_LENGTH = 1.2, 0.75
@@ -51,6 +51,7 @@ class Index:
     block_threshold: np.ndarray
     shingles: list[np.ndarray]
     answers: list[int]
+    sizes: list[int]
     ids: list
     window: int
 
@@ -79,7 +80,7 @@ class Index:
             column = np.sort(weights[:, j])[::-1]
             threshold[j] = (column.sum() - column[:missing].sum()) * (1 - 1e-5)
         cuts = np.arange(0, n, BLOCK)
-        return Index(terms, weights, weights.max(axis=1), np.maximum.reduceat(weights, cuts, axis=1), threshold, np.minimum.reduceat(threshold, cuts), own, answers, [items[i][0] for i in kept], max(64, 2 * int(size.max())))
+        return Index(terms, weights, weights.max(axis=1), np.maximum.reduceat(weights, cuts, axis=1), threshold, np.minimum.reduceat(threshold, cuts), own, answers, [len(w) for w in words], [items[i][0] for i in kept], max(64, 2 * int(size.max())))
 
     def search(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, first word, end, item, score) of all passages and items at or above the item's threshold. Document d has words h[first[d]:first[d+1]]."""
@@ -116,18 +117,17 @@ class Index:
 
     def overlaps(self, item: int, h: np.ndarray) -> tuple[float, float, float]:
         """Shares of the item's shingles that stand in the words h: all, those that touch the question, those that touch the answer."""
-        own, answer = self.shingles[item], self.answers[item]
-        found = np.isin(own, shingles(h) if len(h) >= SHINGLE else grams(h, len(h))) if len(h) else np.zeros(len(own), bool)
-        if len(own) == 1 and len(h) >= 1:  # an item of fewer than five words
-            return (float(found.mean()),) * 3
-        if not answer:
-            return (float(found.mean()),) * 3
-        return float(found.mean()), float(found[:answer].mean()), float(found[max(0, answer - SHINGLE + 1) :].mean())
+        own, answer, k = self.shingles[item], self.answers[item], min(SHINGLE, self.sizes[item])
+        found = np.isin(own, grams(h, k))
+        if not len(found) or not answer or len(own) == 1:
+            return (float(found.mean()) if len(found) else 0.0,) * 3
+        return float(found.mean()), float(found[:answer].mean()), float(found[max(0, answer - k + 1) :].mean())
 
 
 def indexes(spark, items: DataFrame) -> list:
     """Broadcast lists of Index over all items, each list of about INDEX_BYTES of item text, however many items there are."""
     items = items.select("item_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    small_batches(spark)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, out = max(1, -(-total // INDEX_BYTES)), []
     for part in range(parts):
@@ -160,7 +160,7 @@ def matched(docs: DataFrame, items: DataFrame, carry: str = "doc_id") -> DataFra
     for index in indexes(docs.sparkSession, items):
 
         def run(it: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for pdf in pieces(it, most=1 << 20):
+            for pdf in pieces(it, most=BATCH):
                 found = leaks(pdf.text.tolist(), index.value)
                 ids = pdf.doc_id.astype("Int64").array
                 yield pd.DataFrame(
@@ -178,7 +178,7 @@ def leaked_into(index):
 
     def leaked(text: pd.Series) -> pd.Series:
         out, at = np.zeros(len(text), bool), 0
-        for part in pieces([pd.DataFrame({"text": text})], most=1 << 20):
+        for part in pieces([pd.DataFrame({"text": text})], most=BATCH):
             out[[at + d for d, _, _ in leaks(part.text.tolist(), index.value)]] = True
             at += len(part)
         return pd.Series(out)

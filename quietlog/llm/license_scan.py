@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.textcore import PUNCTUATED, U64, Batch, grams, pieces
+from quietlog.llm.textcore import PUNCTUATED, U64, Batch, grams, objects, pieces, small_batches
 
 DICE = 0.8
 #: Short public notices, and the openings of the licences' texts.
@@ -115,16 +115,17 @@ def scanned(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     Of a licence with several templates the best counts. Null and empty texts hold none; repeated rows give repeated results; a null doc_id
     stays null. Templates are few and fixed: they travel with the code. Other columns are not read."""
     known = Templates(templates, dice)
+    small_batches(docs.sparkSession)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(it, most=1 << 19):
+        for pdf in pieces(it):
             parts = [stretches_of(t) if isinstance(t, str) else [] for t in pdf.text]
             of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             at, template, value = known.matches([s for p in parts for s in p])
-            rows = pd.DataFrame({"doc": of[at], "licence": [known.names[j][0] for j in template], "dice": np.round(value, 6), "at": at})
+            rows = pd.DataFrame({"doc": of[at], "licence": objects([known.names[j][0] for j in template]), "dice": np.round(value, 6), "at": at})
             best = rows.groupby(["doc", "licence"], as_index=False).agg(dice=("dice", "max"), stretches=("at", "nunique"))
             ids = pdf.doc_id.astype("Int64").array
-            yield pd.DataFrame({"doc_id": ids.take(best.doc.to_numpy(np.int64)), "licence": best.licence, "dice": best.dice.astype(float), "stretches": best.stretches.astype("int64")})
+            yield pd.DataFrame({"doc_id": ids.take(best.doc.to_numpy(np.int64)), "licence": objects(best.licence.tolist()), "dice": best.dice.astype(float), "stretches": best.stretches.astype("int64")})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return rows.mapInPandas(run, "doc_id long, licence string, dice double, stretches long")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quietlog.llm.graph import components
 from quietlog.llm.repeats import DID, LAST, TH, bitmap, keyed, named_rows, parted
 from quietlog.llm.store import written
-from quietlog.llm.textcore import BASE, PUNCTUATED, U64, Batch, grams, mix, pieces
+from quietlog.llm.textcore import BASE, PUNCTUATED, U64, Batch, grams, mix, objects, pieces, small_batches
 
 SHINGLE, SIMILAR = 5, 0.8
 K, BANDS, ROWS = 64, 16, 4
@@ -60,7 +60,7 @@ def darts(of: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, k: in
     out = np.zeros((n, k), U64)
     cells = np.ceil(weight).astype(np.int64)
     row, cell = np.repeat(of, cells), np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
-    region = mix(np.repeat(element, cells) + cell.astype(U64) * BASE)
+    region = mix(np.repeat(mix(element), cells) + cell.astype(U64) * BASE)
     part = np.repeat(weight, cells) - cell  # the share of the cell that the weight covers
     total = np.bincount(of, weights=weight, minlength=n)
     far = np.where(total > 0, (k * np.log(k) + 2 * k) / np.maximum(total, 1e-300), 0.0)
@@ -108,11 +108,11 @@ def signed(docs: DataFrame) -> DataFrame:
     """did, th (a hash of the text), node (a hash of the words) and bands (empty without words), a row per row."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(it, most=1 << 20):
+        for pdf in pieces(it):
             of, found, count, node = shingle_sets(pdf.text.tolist())
             keys = bands(darts(of, found, np.ones(len(of)), len(pdf)))
             some = np.bincount(of, minlength=len(pdf)) > 0
-            yield pd.DataFrame({"did": pdf.did.to_numpy(), "th": pdf.th.to_numpy(), "node": node.view(np.int64), "bands": [k if s else k[:0] for k, s in zip(keys, some, strict=True)]})
+            yield pd.DataFrame({"did": pdf.did.to_numpy(), "th": pdf.th.to_numpy(), "node": node.view(np.int64), "bands": objects([k if s else k[:0] for k, s in zip(keys, some, strict=True)])})
 
     return keyed(docs).select("did", "th", "text").mapInPandas(run, "did long, th long, node long, bands array<long>")
 
@@ -164,6 +164,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, group_members: int = GROU
     Words are compared lower-cased, without ASCII punctuation. Texts with the same words are one class; texts without words (null, empty, blank) are
     copies of each other. Two texts are linked at a Jaccard similarity of their five-word shingles of at least similar, and classes are what
     links join. Repeated rows and doc_ids are rows each. Other columns are not read."""
+    small_batches(docs.sparkSession)
     every = written(signed(docs), "near-signed")
     nodes = written(every.groupBy("node").agg(F.min("did").alias("rep"), F.first("bands").alias("bands")), "near-nodes")
     spread = nodes.select("node", "rep", F.explode("bands").alias("band"))
@@ -173,10 +174,10 @@ def classes(docs: DataFrame, similar: float = SIMILAR, group_members: int = GROU
     wanted = buckets.select("node", "rep").distinct()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(it, most=1 << 20):
+        for pdf in pieces(it):
             of, found, _, node = shingle_sets(pdf.text.tolist())
             cut = np.searchsorted(of, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"rep": pdf.did.to_numpy(), "node": node.view(np.int64), "shingles": [found[lo:hi].view(np.int64) for lo, hi in zip(cut, cut[1:], strict=False)]})
+            yield pd.DataFrame({"rep": pdf.did.to_numpy(), "node": node.view(np.int64), "shingles": objects([found[lo:hi].view(np.int64) for lo, hi in zip(cut, cut[1:], strict=False)])})
 
     held, _ = parted(keyed(docs).select("did", "text"), bitmap(wanted, "rep"), "did")
     sets = written(held.mapInPandas(run, "rep long, node long, shingles array<long>").join(wanted, ["rep", "node"]).dropDuplicates(["node"]).select("node", "shingles"), "near-sets")

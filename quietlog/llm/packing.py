@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietlog.llm.store import written
+from quietlog.llm.textcore import small_batches
 
 CAPACITY = 2048
 NUMBER_BUCKETS = 512
@@ -232,6 +233,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Data
     A null or empty text is the single id 0. Repeated rows are packed each; a null doc_id stays null. Other
     columns are not read. Only lengths' counts (at most capacity of them) reach the driver."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = written(token_pieces(docs, tokenizer_path, capacity), "pieces")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(NUMBER_BUCKETS)))
     some = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * NUMBER_BUCKETS rows

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietlog.llm.store import written
-from quietlog.llm.textcore import U64, mix, pieces, prefix, span
+from quietlog.llm.textcore import U64, mix, objects, pieces, prefix, small_batches, span
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 HOT = 512
 PER_SHARD = 800
 BITMAP = 1 << 22
@@ -118,11 +118,11 @@ def fragment_table(docs: DataFrame, kind: Kind) -> DataFrame:
     """One row per fragment: key, frag, did, th, s, n, a. Written once, a row per document."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pieces(it, most=1 << 20):
+        for pdf in pieces(it):
             doc, s, n, a, key, frag = fragments(*kind.units(pdf.text.tolist()), kind.size, kind.k)
             cut = np.searchsorted(doc, np.arange(len(pdf) + 1))
             some = np.flatnonzero(np.diff(cut))
-            part = lambda x: [x[cut[d] : cut[d + 1]] for d in some]  # noqa: B023, E731
+            part = lambda x: objects([x[cut[d] : cut[d + 1]] for d in some])  # noqa: B023, E731
             yield pd.DataFrame({"did": pdf.did.to_numpy()[some], "th": pdf.th.to_numpy()[some], "key": part(key), "frag": part(frag), "s": part(s.astype(np.int32)), "n": part(n.astype(np.int32)), "a": part(a.astype(np.int32))})
 
     rows = keyed(docs).select("did", "th", "text").mapInPandas(run, "did long, th long, key array<long>, frag array<long>, s array<int>, n array<int>, a array<int>")
@@ -154,6 +154,7 @@ def as_runs(rows: list[np.ndarray]) -> list[list[dict]]:
 
 def verdicts(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     """(occurrences of fragments that may repeat: key, frag, did, th, s; their verdicts: key, frag, runs)."""
+    small_batches(docs.sparkSession)
     every = fragment_table(docs, kind)
     # Keys that occur once are out; what stays is written, so that AQE may split a hot key's side of this join.
     twice = every.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
@@ -176,7 +177,7 @@ def verdicts(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[np.ndarray], np.ndarray]]:
         """Per batch: a row per wanted fragment, with its units and whether it is of a hot key."""
-        for pdf in pieces(it, most=1 << 19):
+        for pdf in pieces(it):
             units, first = kind.payload(pdf.text.tolist())
             rows = [(w["key"], w["frag"], w["n"], w["a"], w["weight"], did, w["kinds"] > HOT, f + w["s"]) for did, f, want in zip(pdf.did, first, pdf.want, strict=False) for w in want]
             out = pd.DataFrame(rows, columns=["key", "frag", "n", "a", "weight", "did", "hot", "at"])
@@ -184,7 +185,7 @@ def verdicts(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
 
     def cold(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for out, units, at, hot in cut(it):
-            out["payload"] = [units[p : p + n - 1 + kind.size].tobytes() for p, n in zip(at, out.n, strict=True)]
+            out["payload"] = objects([units[p : p + n - 1 + kind.size].tobytes() for p, n in zip(at, out.n, strict=True)])
             yield out[~hot]
 
     def windows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +207,7 @@ def verdicts(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
         dtype = np.uint8 if kind.name == "bytes" else U64
         parts = [np.frombuffer(x, dtype) for x in pdf.payload]
         runs = kind.decide(parts, pdf.n.to_numpy(np.int64), pdf.a.to_numpy(np.int64), pdf.weight.to_numpy(np.int64), pdf.did.to_numpy(np.int64))
-        return pd.DataFrame({"key": pdf.key.to_numpy(), "frag": pdf.frag.to_numpy(), "runs": as_runs(runs)})
+        return pd.DataFrame({"key": pdf.key.to_numpy(), "frag": pdf.frag.to_numpy(), "runs": objects(as_runs(runs))})
 
     sent = holders.mapInPandas(cold, fields + ", payload binary").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     found = alone.unionByName(sent.groupBy("shard").applyInPandas(decide, f"key long, frag long, {RUNS}"))

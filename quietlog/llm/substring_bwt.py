@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quietlog.llm.bwt import merged, rotations
 from quietlog.llm.repeats import SPANS, Kind, all_with_spans, covered, runs_of, with_spans
-from quietlog.llm.textcore import BYTE
+from quietlog.llm.textcore import BYTE, objects
 
 SIZE, K, BLOCK, PARTS = 400, 128, 8, 4
 
@@ -103,7 +103,7 @@ def digest(docs: DataFrame) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = [(n, gone, runs, hashlib.sha256(kept).hexdigest()) for n, gone, runs, kept in map(cut_bytes, pdf.text, pdf.spans)]
-            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"kept_sha256": object})
             out.insert(0, "doc_id", pdf.doc_id.astype("Int64").to_numpy() if len(pdf) else [])
             yield out
 
@@ -121,7 +121,7 @@ def cut_text(text: str | None, spans: list | None) -> str | None:
 
 
 def cut_texts(text: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([cut_text(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
+    return objects([cut_text(t, s) for t, s in zip(text, spans, strict=True)])
 
 
 def cut(docs: DataFrame) -> DataFrame:

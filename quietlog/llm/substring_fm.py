@@ -131,7 +131,7 @@ def digest(docs: DataFrame) -> DataFrame:
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at : at + 64]
                 rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in cut_words(part)]
-                out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
+                out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"]).astype({"kept_sha256": object})
                 out.insert(0, "doc_id", part.doc_id.astype("Int64").to_numpy())
                 yield out
 

@@ -20,6 +20,8 @@ _RNG = np.random.default_rng(20260)
 #: A random odd 64-bit value per byte.
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = U64(0x9E3779B97F4A7C15)
+#: Characters worked on at once, and rows that Arrow sends at once: what a Python worker holds is a small multiple of these and of its longest text.
+BATCH, ARROW_ROWS = 1 << 18, 512
 _POWERS = np.ones(1, U64)
 
 
@@ -113,10 +115,26 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def pieces(it: Iterator[pd.DataFrame], column: str = "text", most: int = 1 << 21) -> Iterator[pd.DataFrame]:
+def pieces(it: Iterator[pd.DataFrame], column: str = "text", most: int = BATCH) -> Iterator[pd.DataFrame]:
     """The batches cut into runs of rows with about most characters; a longer single text comes alone."""
     for pdf in it:
         size = np.fromiter((len(t) if isinstance(t, str) else 0 for t in pdf[column]), np.int64, len(pdf))
         run = np.cumsum(size) // most
         for _, at in pd.Series(np.arange(len(pdf))).groupby(run):
             yield pdf.iloc[at.to_numpy()]
+
+
+def small_batches(spark) -> None:
+    """Texts are long: no more than ARROW_ROWS of them go to a Python worker at once. Set on the session, since plans read it when they run."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def objects(values) -> pd.Series:
+    """A column of strings or arrays that stays one when it is empty or all of one length."""
+    out = np.empty(len(values), dtype=object)
+    for i, v in enumerate(values):
+        out[i] = v
+    return pd.Series(out, dtype=object)

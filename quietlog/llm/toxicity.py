@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlog.llm.textcore import PUNCTUATED, U64, Batch, mix, pieces
+from quietlog.llm.textcore import PUNCTUATED, U64, Batch, mix, objects, pieces, small_batches
 
 BITS = 20
 STEMS = (4, 5, 6)
@@ -67,7 +67,7 @@ def training_rows(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = np.unique((of << BITS) | found)
         cut = np.searchsorted(key >> BITS, np.arange(len(pdf) + 1))
         found = (key & ((1 << BITS) - 1)).astype(np.int32)
-        yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy(), "label": pdf.label.to_numpy(), "found": [found[a:b] for a, b in zip(cut, cut[1:], strict=False)]})
+        yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy(), "label": pdf.label.to_numpy(), "found": objects([found[a:b] for a, b in zip(cut, cut[1:], strict=False)])})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_out_of: int | None = 3) -> tuple[np.ndarray, np.ndarray, float]:
@@ -76,6 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, held_o
     Learns from labelled documents but those held out (crc32 of the doc_id as text, modulo held_out_of, is 1). With more than
     max_train of them, from the max_train lowest by a hash of doc_id. Several labels of a document: the highest counts; null labels and labels without a
     document are left out. With labels of one kind or none, the score is their share for every text (0 without any)."""
+    small_batches(docs.sparkSession)
     of = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label is not null")
     if held_out_of:
         of = of.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out_of != 1)
