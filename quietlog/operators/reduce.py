@@ -42,7 +42,7 @@ def summary_value(key: str, leaves: str = "leaves") -> str:
     """SQL of a summary key's value as JSON text: the field, its copy under EventData, a <Data Name=...> element of EventData XML, null."""
     out = f"{leaves}[{_lit(key)}].json, {leaves}[{_lit('EventData.' + key)}].json"
     if key.replace("_", "a").isalnum():
-        xml = f"regexp_extract({leaves}['EventData'].json, {_lit('<Data Name=' + chr(92) * 4 + chr(34) + key + chr(92) * 4 + chr(34) + '>([^<]*)</Data>')}, 1)"
+        xml = f"regexp_extract({leaves}['EventData'].json, {_lit('<Data Name=' + chr(92) * 2 + chr(34) + key + chr(92) * 2 + chr(34) + '>([^<]*)</Data>')}, 1)"
         out += f", if({xml} <> '', concat('\"', {xml}, '\"'), null)"
     return f"coalesce({out}, 'null')"
 
