@@ -276,3 +276,16 @@ def test_pipeline(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(x in r.text for r in docs.collect() for x in items)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_as_sql(spark, name):
+    import duckdb
+
+    df = queries.QUERIES[name](spark, SF)
+    cols = sorted(df.columns)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    rel = con.sql(queries.ORACLE_SQL[name])
+    assert sorted(rel.columns) == cols
+    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(rel.select(*cols).fetchall())
