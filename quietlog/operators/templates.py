@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietlog.functions.leaves import encoded_size, keyset, rendered, with_leaves
-from quietlog.model import RARE_EVENTS, RARE_PPM
+from quietlog.functions.leaves import encoded_size, keyset, rendered, string_of, with_leaves
+from quietlog.functions.text import pattern_regex
+from quietlog.model import RARE_EVENTS, RARE_PPM, Source, Template
+from quietlog.operators.drain import text_templates
 
 FREE_TEXT_BYTES = 40
 
@@ -75,3 +79,57 @@ def free_text_fields(prepared_events: DataFrame, group: tuple[str, ...] = ("sour
 def leaf_paths(prepared_events: DataFrame) -> DataFrame:
     """(path, kind): how many leaves."""
     return prepared_events.select(F.explode("leaves").alias("path", "leaf")).groupBy("path", F.col("leaf.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def line_of(sources: Sequence[Source]) -> Column:
+    """The text line of events of text sources that hold one; null for all others."""
+    out = F.lit(None).cast("string")
+    for s in sources:
+        if s.text_field:
+            leaf = f"leaves['{s.text_field}']"
+            out = F.when((F.col("source") == s.id) & F.expr(f"{leaf}.kind = 'string'"), F.expr(string_of(leaf))).otherwise(out)
+    return out
+
+
+def discovered(prepared_events: DataFrame, sources: Sequence[Source]) -> DataFrame:
+    """Events with template_id, pattern and header (null for JSON): text lines by Drain, everything else, and text events without their line, by shape."""
+    text = [s for s in sources if s.text_field]
+    df = prepared_events.withColumn("line", line_of(sources))
+    shaped = df.where("line is null") if text else df
+    out = assigned(shaped, kinds(shapes(shaped))).withColumns({"pattern": F.lit(None).cast("array<string>"), "header": F.lit(None).cast("string")})
+    if text:
+        lines = df.where("line is not null")
+        found = text_templates(lines.select("source", "event_id", F.col("line").alias("text")))
+        out = out.unionByName(lines.join(found, ["source", "event_id"]))
+    return out.drop("line")
+
+
+def templates_of(found: DataFrame, sources: Sequence[Source]) -> list[Template]:
+    """Templates of discovered events as driver values: as many as there are shapes, not events."""
+    by = {s.id: s for s in sources}
+    totals = {r.source: r.n for r in found.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = found.groupBy("template_id", "source", F.when(F.col("pattern").isNull(), F.col("discr")).alias("discr"), "pattern", "header").agg(F.collect_set("keyset").alias("keysets"), F.count(F.lit(1)).alias("events"), F.sum("bytes").alias("bytes"))
+    out = []
+    for r in rows.orderBy("template_id").collect():
+        s = by[r.source]
+        pairs = tuple(tuple(d.split("=", 1)) for d in (r.discr or "").split("\n") if d)
+        out.append(Template(r.template_id, r.source, s.logsource, s.schema, pairs, tuple(sorted(tuple(k.split("\n")) for k in r.keysets)), tuple(r.pattern or ()), r.header or "none", (s.text_field,) if s.text_field else (), r.events, r.bytes, totals[r.source]))
+    return out
+
+
+def classified(prepared_events: DataFrame, known: Iterable[Template], sources: Sequence[Source]) -> DataFrame:
+    """Events with template_id by known templates: key sets first, by a join; then text patterns, fewest wildcards first. What fits none has null, and is forwarded.
+
+    A text template whose lines had headers only in part cannot tell its lines, so they are forwarded too."""
+    known = list(known)
+    rows = [(t.source, "\n".join("=".join(d) for d in t.discriminators), "\n".join(k), t.id) for t in known if not t.is_text for k in t.variants]
+    shape = prepared_events.sparkSession.createDataFrame(rows, "source string, discr string, keyset string, template_id string")
+    df = prepared_events.withColumn("line", line_of(sources))
+    by_line = F.lit(None).cast("string")
+    wild = lambda t: sum(x.count("<") for x in t.pattern)
+    for t in sorted((t for t in known if t.is_text), key=lambda t: (wild(t), t.id), reverse=True):
+        rx = pattern_regex(t.pattern, t.header)
+        if rx:
+            by_line = F.when((F.col("source") == t.source) & F.col("line").rlike(rx), F.lit(t.id)).otherwise(by_line)
+    shaped = df.join(shape.withColumnRenamed("template_id", "by_shape"), ["source", "discr", "keyset"], "left")
+    return shaped.withColumn("template_id", F.when(F.col("line").isNull(), F.col("by_shape")).otherwise(by_line)).drop("by_shape", "line")

@@ -32,23 +32,11 @@ class Analysis:
     fingerprints: dict[str, str] = field(default_factory=dict)
 
 
-def templates_of(kinds: DataFrame, sources: Sequence[Source]) -> list[Template]:
-    """Templates as driver values: as many as there are shapes, not events."""
-    by = {s.id: s for s in sources}
-    rows = kinds.groupBy("template_id", "source", "discr").agg(F.collect_set("keyset").alias("keysets"), *(F.first(c).alias(c) for c in ("events", "bytes", "source_events"))).orderBy("template_id").collect()
-    out = []
-    for r in rows:
-        s = by[r.source]
-        pairs = tuple(tuple(d.split("=", 1)) for d in r.discr.split("\n") if d)
-        out.append(Template(r.template_id, r.source, s.logsource, s.schema, pairs, tuple(sorted(tuple(k.split("\n")) for k in r.keysets)), text_fields=(s.text_field,) if s.text_field else (), events=r.events, bytes=r.bytes, source_events=r.source_events))
-    return out
-
-
 def learned(assigned: DataFrame, templates: Sequence[Template]) -> dict[str, list[Implied]]:
     """Implied values of the templates that are not rare, discriminators left out."""
     from quietlog.model import is_rare
 
-    names = [t.id for t in templates if t.variants and not is_rare(t.events, t.source_events)]
+    names = [t.id for t in templates if not t.is_text and not is_rare(t.events, t.source_events)]
     skip = tuple(sorted({d for t in templates for d, _ in t.discriminators}))
     events = assigned.where(F.col("template_id").isin(names)) if names else assigned.where("false")
     leaves, mid = mining.long_form(events), mining.middles(events)
@@ -64,10 +52,10 @@ def learned(assigned: DataFrame, templates: Sequence[Template]) -> dict[str, lis
 def analyze(events: DataFrame, sources: Sequence[Source], entries: Sequence[Entry], rules: Sequence[Requirement], engine: Callable[[DataFrame], DataFrame], modes: Sequence[str] = ("duplicates", "implied", "counts"), archive: bool = True, complete: bool = True) -> Analysis:
     """events: event_id, ts, source, body. engine: events with leaves -> (rule, event_id); deterministic, never partial."""
     prepared = discovery.prepared(events, {s.id: s.event_type_fields() for s in sources})
-    kinds = discovery.kinds(discovery.shapes(prepared)).persist()
+    # Read twice by mining and twice a round by the proof: discovered once.
+    assigned = discovery.discovered(prepared, sources).persist()
     try:
-        known = templates_of(kinds, sources)
-        assigned = discovery.assigned(prepared, kinds).persist()
+        known = discovery.templates_of(assigned, sources)
         recipes, conflicts = resolve(entries, known)
         if "implied" in modes:
             recipes = with_implied(recipes, learned(assigned, known))
@@ -76,10 +64,9 @@ def analyze(events: DataFrame, sources: Sequence[Source], entries: Sequence[Entr
         proof = select_proven(assigned, plans, engine)
         bodies = with_bodies(reduced(assigned, proof.plans, {t.id: t.fields for t in known}))
         found = [r.asDict() for r in volumes(bodies, summaries(bodies)).orderBy("template_id").collect()]  # one row a template
-        assigned.unpersist()
         return Analysis(known, recipes, conflicts, proof, found, fingerprints(rules))
     finally:
-        kinds.unpersist()
+        assigned.unpersist()
 
 
 def predicate_json(p: P.Predicate | None) -> object:
@@ -124,7 +111,7 @@ def plan_json(a: Analysis) -> str:
     rows = []
     for t in sorted(a.templates, key=lambda t: (-t.bytes, t.id)):
         v = volume.get(t.id) or {}
-        rows.append({"id": t.id, "source": t.source, "discriminators": [list(d) for d in t.discriminators], "keysets": [list(k) for k in t.variants], "events": t.events, "bytes": t.bytes, "bytes_out": v.get("bytes_out"), "enforced": effective_json(a.proof.plans[t.id])})
+        rows.append({"id": t.id, "source": t.source, "discriminators": [list(d) for d in t.discriminators], "keysets": [list(k) for k in t.variants], "pattern": list(t.pattern), "header": t.header, "events": t.events, "bytes": t.bytes, "bytes_out": v.get("bytes_out"), "enforced": effective_json(a.proof.plans[t.id])})
     total = volume.get(None) or {}
     doc = {"format": FORMAT, "proven": a.proof.holds, "rounds": a.proof.rounds, "rolled_back": a.proof.rolled_back, "conflicts": a.conflicts, "total": {k: v for k, v in total.items() if k != "template_id"}, "rules": a.fingerprints, "templates": rows}
     return json.dumps(doc, indent=1, sort_keys=True)
@@ -168,9 +155,9 @@ def verified(plan_text: str, events: DataFrame, sources: Sequence[Source], rules
     from quietlog.plans.verify import verdict
 
     plans, doc = read_plan(plan_text)
-    shape = events.sparkSession.createDataFrame([(t["source"], "\n".join("=".join(d) for d in t["discriminators"]), "\n".join(k), t["id"]) for t in doc["templates"] for k in t["keysets"]], "source string, discr string, keyset string, template_id string")
+    known = [Template(t["id"], t["source"], discriminators=tuple(map(tuple, t["discriminators"])), variants=tuple(map(tuple, t["keysets"])), pattern=tuple(t["pattern"]), header=t["header"]) for t in doc["templates"]]
     prepared = discovery.prepared(events, {s.id: s.event_type_fields() for s in sources})
-    assigned = prepared.join(F.broadcast(shape), ["source", "discr", "keyset"], "left")
+    assigned = discovery.classified(prepared, known, sources)
     missing, extra = compared(engine(assigned), engine(forwarded_events(reduced(assigned, plans)))).agg(F.count_if(F.col("change") == "missing"), F.count_if(F.col("change") == "extra")).first()
     now, then = fingerprints(rules), doc["rules"]
     changed = {"added": sorted(set(now) - set(then)), "removed": sorted(set(then) - set(now)), "changed": sorted(r for r in set(now) & set(then) if now[r] != then[r]), "missing": missing, "extra": extra}

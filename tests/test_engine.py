@@ -109,6 +109,10 @@ def test_sample_from_end_to_end(spark):
     assert total["events"] == total["forwarded"] + total["summarized"] and total["bytes_out"] < 0.7 * total["bytes_in"]
     prepared = templates.prepared(sample, {s.id: s.event_type_fields() for s in synth.SOURCES})
     assert {r.rule: r["count"] for r in engine(prepared).groupBy("rule").count().collect()} == {"burst": 3, "lsass": 1, "ssh": 30, "domain": 1}
+    assert any(t.is_text for t in a.templates) and {t.header for t in a.templates if t.source == "linux-auth"} == {"syslog"}
+    known = templates.discovered(prepared, synth.SOURCES).select("event_id", F.col("template_id").alias("was"))
+    again = templates.classified(prepared, a.templates, synth.SOURCES).select("event_id", "template_id").join(known, "event_id")
+    assert again.where("template_id is null or template_id <> was").count() == 0
     text = plan.plan_json(a)
     assert plan.read_plan(text)[0] == a.proof.plans
     assert "% saved" in plan.report(a)
