@@ -30,18 +30,19 @@ from quietlog.llm.textcore import small_batches
 
 CAPACITY = 2048
 NUMBER_BUCKETS = 512
-WORDS_KEPT = 1_200_000
+WORDS_KEPT = 250_000
 
 
 class Encoder:
     """Token ids of texts. No token spans white space in these vocabularies, so ids of the chunks between
-    spaces and line feeds are kept and used again; at most WORDS_KEPT chunks are kept."""
+    spaces and line feeds are kept and used again. Two generations of at most WORDS_KEPT chunks: a chunk that is not used during one is forgotten."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
 
     def chunks(self, text: str) -> list[str]:
         # The vocabulary lower-cases one character at a time: the same, but for a last sigma; and special tokens are found before that.
@@ -51,12 +52,16 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        kept = self.kept
-        if len(kept) > WORDS_KEPT:
-            kept.clear()
-            kept[""] = b""
+        if len(self.kept) > WORDS_KEPT:
+            self.kept, self.before = {"": b""}, self.kept
+        kept, before = self.kept, self.before
         split = [self.chunks(t) for t in texts]
-        new = list({w for words in split for w in words if w not in kept})
+        new = []
+        for w in {w for words in split for w in words if w not in kept}:
+            if w in before:
+                kept[w] = before[w]
+            else:
+                new.append(w)
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
