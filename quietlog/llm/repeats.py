@@ -29,7 +29,7 @@ from quietlog.llm.store import written
 from quietlog.llm.textcore import U64, mix, objects, pieces, prefix, small_batches, span
 
 CHUNK = 1 << 18
-HOT = 512
+HOT = 2048
 PER_SHARD = 800
 BITMAP = 1 << 22
 LAST = 2**63 - 1
