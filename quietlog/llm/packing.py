@@ -140,7 +140,13 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     return [(columns[j], int(v + 1e-9)) for j, v in zip(basis, np.linalg.solve(matrix, d), strict=True) if v >= 1 - 1e-9]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 24, small_share: float = 0.125) -> tuple[list[tuple[int, int, int, int, int]], int]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, shares: tuple[float, ...] = (0.125, 0.25, 0.4, 0.5)) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """The plan with the fewest sequences of those that take lengths above some share of the capacity as large: rounding costs most where
+    large pieces are many and small ones too few to fill what it leaves."""
+    return min((plan_with(counts, capacity, small_share=share) for share in shares), key=lambda p: p[1])
+
+
+def plan_with(counts: dict[int, int], capacity: int = CAPACITY, groups: int = 24, small_share: float = 0.125) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Rows (length, first, n, sequence, offset): pieces first .. first+n-1 of that length go to sequences
     sequence .. sequence+n-1 at that offset; and the number of sequences."""
     rows: list[tuple[int, int, int, int, int]] = []
