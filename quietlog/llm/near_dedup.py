@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quietlog.llm.graph import components
 from quietlog.llm.repeats import DID, LAST, TH, bitmap, keyed, named_rows, parted
 from quietlog.llm.store import written
-from quietlog.llm.textcore import BASE, PUNCTUATED, U64, Batch, grams, mix, objects, pieces, small_batches
+from quietlog.llm.textcore import BASE, PUNCTUATED, U64, Batch, grams, mix, objects, pieces, release, small_batches
 
 SHINGLE, SIMILAR = 5, 0.8
 K, BANDS, ROWS = 64, 16, 4
@@ -153,6 +153,7 @@ def linked(groups: DataFrame, similar: float) -> DataFrame:
         for _, part in pdf.groupby("grp", sort=False):
             if len(part) > 1:
                 rows += forest(part.node.to_numpy(), [np.asarray(x, np.int64) for x in part.shingles], similar)
+        release()
         return pd.DataFrame(rows, columns=["a", "b"], dtype="int64")
 
     return groups.groupBy("task").applyInPandas(run, "a long, b long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quietlog.llm.store import written
-from quietlog.llm.textcore import U64, mix, objects, pieces, prefix, small_batches, span
+from quietlog.llm.textcore import U64, mix, objects, pieces, prefix, release, small_batches, span
 
 CHUNK = 1 << 18
 HOT = 2048
@@ -207,7 +207,10 @@ def verdicts(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
         dtype = np.uint8 if kind.name == "bytes" else U64
         parts = [np.frombuffer(x, dtype) for x in pdf.payload]
         runs = kind.decide(parts, pdf.n.to_numpy(np.int64), pdf.a.to_numpy(np.int64), pdf.weight.to_numpy(np.int64), pdf.did.to_numpy(np.int64))
-        return pd.DataFrame({"key": pdf.key.to_numpy(), "frag": pdf.frag.to_numpy(), "runs": objects(as_runs(runs))})
+        out = pd.DataFrame({"key": pdf.key.to_numpy(), "frag": pdf.frag.to_numpy(), "runs": objects(as_runs(runs))})
+        del parts, runs
+        release()
+        return out
 
     sent = holders.mapInPandas(cold, fields + ", payload binary").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     found = alone.unionByName(sent.groupBy("shard").applyInPandas(decide, f"key long, frag long, {RUNS}"))

@@ -4,10 +4,13 @@ A batch of texts becomes one byte buffer; words, their hashes and their document
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 U64 = np.uint64
 #: The bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -122,6 +125,17 @@ def pieces(it: Iterator[pd.DataFrame], column: str = "text", most: int = BATCH)
         run = np.cumsum(size) // most
         for _, at in pd.Series(np.arange(len(pdf))).groupby(run):
             yield pdf.iloc[at.to_numpy()]
+    release()
+
+
+_LIBC = ctypes.CDLL(None) if os.name == "posix" else None
+
+
+def release() -> None:
+    """Gives free memory back at the end of a task: an idle Python worker is kept for the next stage, its memory need not be."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def small_batches(spark) -> None:
