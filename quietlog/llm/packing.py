@@ -30,7 +30,7 @@ from quietlog.llm.textcore import small_batches
 
 CAPACITY = 2048
 NUMBER_BUCKETS = 512
-WORDS_KEPT = 250_000
+WORDS_KEPT = 400_000
 
 
 class Encoder:
