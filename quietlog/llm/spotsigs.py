@@ -1,12 +1,11 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
-A spot is a common word (an article, a preposition, ...) with the CHAIN content words after it, up to PASSED other common
-words passed over before each. A text's
+A spot is a common word (an article, a preposition, ...) with the CHAIN content words after it, other common words passed over. A text's
 signature is the set of its spots, hashed to 32 bits; a text without any spot has its words instead. Running text is rich in
 anchors and menus, lists and boilerplate are poor in them, so the set follows the prose.
 
-All of it is Spark SQL: words by split, common words by a hash set, chains by one look-ahead expression over the marked words,
-likeness by array_intersect."""
+All of it is Spark SQL: words by split, common words by a hash set, chains from the positions of content words (the common words between two of
+them share one chain, so time is linear however long their run), likeness by array_intersect."""
 
 from __future__ import annotations
 
@@ -20,8 +19,6 @@ COMMON = (
     "al como con de del el ella en era es esta este ha la las lo los más me mi muy no para pero por que se si sin sobre su sus un una y ya"
 )
 CHAIN = 2
-#: Common words that may stand before each content word of a chain.
-PASSED = 8
 NEVER = -(2**63)
 BUCKETS = 65536
 
@@ -30,12 +27,15 @@ def with_signature(df: DataFrame, text: str, to: str) -> DataFrame:
     """df with the signature of a text column, null as empty."""
     words = f"filter(split(lower(coalesce({text}, '')), r'[^\\p{{L}}\\p{{N}}]+'), w -> w <> '')"
     listed = ", ".join("'" + w + "'" for w in sorted(set(COMMON.split())))
-    # Possessive: no backtracking, so neither depth nor time grows with a run of common words.
-    content = f"(?: \\u0001[^ ]++){{0,{PASSED}}}+ [^ \\u0001][^ ]*+" * CHAIN
-    spots = f"transform(regexp_extract_all(concat(' ', array_join(transform({to}, w -> if(w in ({listed}), concat('\\u0001', w), w)), ' '), ' '), '(?= (\\u0001[^ ]++{content}) )', 1), c -> cast(shiftright(xxhash64(regexp_replace(c, ' \\u0001[^ ]+', '')), 32) as int))"
+    at = f"{to}_at"
+    # Of each content word that CHAIN - 1 others follow, the common words since the content word before it are the anchors.
+    chain = ", ".join(f"' ', {to}[{at}[k + {n}]]" for n in range(CHAIN))
+    anchors = f"transform(sequence(coalesce(get({at}, k - 1), -1) + 1, p - 1), i -> cast(shiftright(xxhash64(concat('\\u0001', {to}[i], {chain})), 32) as int))"
+    spots = f"flatten(transform({at}, (p, k) -> if(k + {CHAIN} <= size({at}) and p - coalesce(get({at}, k - 1), -1) > 1, {anchors}, cast(array() as array<int>))))"
     df = df.withColumn(to, F.expr(words))
+    df = df.withColumn(at, F.expr(f"filter(transform({to}, (w, i) -> if(w in ({listed}), null, i)), i -> i is not null)"))
     df = df.withColumn(f"{to}_spots", F.expr(spots))
-    return df.withColumn(to, F.expr(f"array_sort(array_distinct(if(size({to}_spots) > 0, {to}_spots, transform({to}, w -> cast(shiftright(xxhash64(w), 32) as int)))))")).drop(f"{to}_spots")
+    return df.withColumn(to, F.expr(f"array_sort(array_distinct(if(size({to}_spots) > 0, {to}_spots, transform({to}, w -> cast(shiftright(xxhash64(w), 32) as int)))))")).drop(f"{to}_spots", at)
 
 
 def as_text(spots: str) -> Column:

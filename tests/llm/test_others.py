@@ -217,6 +217,23 @@ def test_fingerprints_as_brute_force(make):
         assert len(r.fingerprint) == 8 * len(spots(t))
 
 
+def all_spots(text):
+    common, words = set(spotsigs.COMMON.split()), re.findall(r"[^\W_]+", text.lower())
+    chains = [(w, [y for y in words[i + 1 :] if y not in common][:2]) for i, w in enumerate(words) if w in common]
+    return {(w, *c) for w, c in chains if len(c) == 2} or set(words)
+
+
+def test_spots_after_any_run_of_common_words(make):
+    rng, run = random.Random(8), "of the and a la der und in to on with for".split()
+    texts = [" ".join([*run, "cat", *run, "dog", "tree"]), "the " * 2000 + "cat " + "of " * 2000 + "dog", " ".join([*run, "cat"]), *(" ".join(rng.choice([*run, "katze", "hund", "été"]) for _ in range(rng.randrange(99))) for _ in range(200))]
+    rows = {r.doc_id: r for r in spotsigs.fingerprints(make(list(enumerate(texts)))).collect()}
+    assert [len(all_spots(t)) for t in texts[:3]] == [2 * len(run), 1, len(run) + 1]
+    for i, t in enumerate(texts):
+        a, b = all_spots(t), all_spots(texts[i - 1])
+        assert len(rows[i].fingerprint) == 8 * len(a)
+        assert abs(rows[i].near_next - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
+
+
 def test_fingerprints_of_repeated_rows(make):
     rows = spotsigs.fingerprints(make(EDGES)).collect()
     assert len(rows) == len(EDGES)
