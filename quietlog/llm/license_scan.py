@@ -2,11 +2,15 @@
 
 A stretch is a line, a paragraph (lines up to an empty one) or the whole text. Texts and templates are normalised alike: lower-cased, split at ASCII
 punctuation and white space. With sets of a and b bigrams the coefficient is at most 2 min(a, b) / (a + b), so a template is only
-compared where the stretch's size lies within b * t/(2-t) and b * (2-t)/t; stretches that share no bigram with any template are dropped before that."""
+compared where the stretch's size lies within b * t/(2-t) and b * (2-t)/t; stretches that share too few bigrams with all templates are dropped before that.
+
+A licence that no stretch matches is looked for inside the text, across lines: in every run of words whose length lies within the same bounds of a template's. Such a
+run holds at least b * t/(2-t) of the template's bigrams, so only places where they stand that close are scored, each for all lengths at once by prefix sums."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from importlib import resources
 
 import numpy as np
 import pandas as pd
@@ -46,6 +50,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("This work is dedicated to the public domain under CC0 1.0.",),
     "All-rights-reserved": ("All rights reserved.", "Copyright. All rights reserved."),
 }
+#: The licences' whole texts.
+TEXTS: dict[str, tuple[str, ...]] = {f.name[:-4]: (f.read_text(encoding="utf-8"),) for f in sorted((resources.files("quietlog.llm") / "licences").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 
 def bigram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +78,15 @@ class Templates:
         self.known = np.unique(self.found)
         self.holds = np.zeros((len(self.known), len(self.names)), np.float32)
         self.holds[np.searchsorted(self.known, self.found), of] = 1
+        self.held, self.holders = np.count_nonzero(self.holds, axis=1), np.nonzero(self.holds)[1]
+        # An opening that stands word for word in a longer template of its licence and in one of another says nothing of which it is: it is no run.
+        b = Batch([templates[n][k] for n, k in self.names], lower=True, gaps=PUNCTUATED)
+        words = np.diff(b.first)
+        plain = [b" ".join([b"", *(b.raw[x:y] for x, y in zip(b.start[lo:hi], b.end[lo:hi], strict=True)), b""]) for lo, hi in zip(b.first, b.first[1:], strict=False)]
+        within = [{self.names[j][0] for j in range(len(plain)) if len(plain[j]) > len(x) and x in plain[j]} for x in plain]
+        self.alone = [name not in w or len(w) == 1 for (name, _), w in zip(self.names, within, strict=True)]
+        #: Bigrams in a row, repeats included, in a run that may match: least and most.
+        self.least, self.most = np.ceil(self.size * dice / (2 - dice) - 1e-9).astype(int), np.floor((words - 1) * (2 - dice) / dice + 1e-9).astype(int)
         self.low, self.high, self.dice = self.size * dice / (2 - dice) - 1e-9, self.size * (2 - dice) / dice + 1e-9, dice
 
     def matches(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,9 +101,9 @@ class Templates:
         start = np.flatnonzero(np.diff(of, prepend=-1))
         some = of[start]
         # Size bounds first: stretches that no template may match are not counted at all.
-        may = (size[some][:, None] >= self.low) & (size[some][:, None] <= self.high)
-        hope = may.any(axis=1)
         length = np.diff(np.append(start, len(of)))
+        may = (size[some][:, None] >= self.low) & (size[some][:, None] <= self.high) & (2.0 * length[:, None] >= (self.dice - 1e-6) * (size[some][:, None] + self.size))
+        hope = may.any(axis=1)
         at = at[np.repeat(hope, length)]
         some, may, length = some[hope], may[hope], length[hope]
         if not len(some):
@@ -98,6 +113,54 @@ class Templates:
         i, j = np.nonzero(dice >= self.dice - 1e-9)
         return some[i], j, dice[i, j]
 
+    def runs(self, texts: list[str | None], found: set[tuple[int, str]]) -> Iterator[tuple[int, str, float]]:
+        """(text, licence, Dice coefficient of the best run) of at least dice, without those in found. A run has two words at least."""
+        b = Batch(texts, lower=True, gaps=PUNCTUATED)
+        g = grams(b.hashes(), 2)
+        if not len(g):
+            return
+        k = np.minimum(np.searchsorted(self.known, g), len(self.known) - 1)
+        pos = np.flatnonzero((self.known[k] == g) & (b.doc[:-1] == b.doc[1:]))
+        count = self.held[k[pos]]
+        template = self.holders[np.repeat((np.cumsum(self.held) - self.held)[k[pos]] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        order = np.argsort(template, kind="stable")
+        pos, cut = np.repeat(pos, count)[order], np.searchsorted(template[order], np.arange(len(self.names) + 1))
+        best: dict[tuple[int, str], float] = {}
+        for j, (licence, _) in enumerate(self.names):
+            p, least, most = pos[cut[j] : cut[j + 1]], self.least[j], self.most[j]
+            if most < 1 or len(p) < least or not self.alone[j]:
+                continue
+            near = np.flatnonzero((p[least - 1 :] - p[: len(p) - least + 1] < most) & (b.doc[p[least - 1 :]] == b.doc[p[: len(p) - least + 1]]))
+            doc = b.doc[p[near]]
+            lo, hi = np.maximum(p[near + least - 1] - most + 1, b.first[doc]), np.minimum(p[near] + most, b.first[doc + 1] - 1)
+            new = np.ones(len(near), bool)  # places that overlap are scored together
+            new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1])
+            for d, x, y in zip(doc[new], lo[new], hi[np.append(new[1:], True)[: len(new)]], strict=True):
+                if (d, licence) not in found:
+                    value = self.best_run(g[x:y], p[np.searchsorted(p, x) : np.searchsorted(p, y)] - x, j)
+                    if value >= self.dice - 1e-9:
+                        best[d, licence] = max(best.get((d, licence), 0.0), value)
+        yield from ((d, licence, v) for (d, licence), v in best.items())
+
+    def best_run(self, g: np.ndarray, hits: np.ndarray, j: int) -> float:
+        """The greatest coefficient of template j and a run of least to most of the bigrams g; hits are the places of the template's.
+
+        A place counts as a different bigram in the runs that begin after the bigram's place before."""
+        n, best = len(g), 0.0
+        order = np.argsort(g, kind="stable")
+        before = np.full(n, -1)
+        same = g[order[1:]] == g[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        at = np.arange(n)
+        passed = np.searchsorted(hits, at)
+        for length in range(self.least[j], min(self.most[j], n) + 1):
+            begin = np.maximum(before + 1, at - length + 1)
+            runs = n - length + 1
+            every = np.cumsum(np.bincount(begin, minlength=n))[:runs] - at[:runs]
+            common = np.cumsum(np.bincount(begin[hits], minlength=n))[:runs] - passed[:runs]
+            best = max(best, float((2.0 * common / (every + self.size[j])).max()))
+        return best
+
 
 def stretches_of(text: str) -> list[str]:
     """The different lines, paragraphs and the whole of a text."""
@@ -109,12 +172,12 @@ def stretches_of(text: str) -> list[str]:
     return list(out)
 
 
-def scanned(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, dice: float = DICE) -> DataFrame:
+def scanned(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, dice: float = DICE, texts: Mapping[str, tuple[str, ...]] = TEXTS) -> DataFrame:
     """Per row of docs and licence found in it: doc_id, licence, dice (of the best stretch, 6 digits), stretches (how many different ones match).
 
-    Of a licence with several templates the best counts. Null and empty texts hold none; repeated rows give repeated results; a null doc_id
+    Where no stretch matches, dice is of the best run of words, and stretches is 1. Of a licence with several templates, whole texts among them, the best counts. Null and empty texts hold none; repeated rows give repeated results; a null doc_id
     stays null. Templates are few and fixed: they travel with the code. Other columns are not read."""
-    known = Templates(templates, dice)
+    known = Templates({name: (*templates.get(name, ()), *texts.get(name, ())) for name in {*templates, *texts}}, dice)
     small_batches(docs.sparkSession)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,6 +187,9 @@ def scanned(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
             at, template, value = known.matches([s for p in parts for s in p])
             rows = pd.DataFrame({"doc": of[at], "licence": objects([known.names[j][0] for j in template]), "dice": np.round(value, 6), "at": at})
             best = rows.groupby(["doc", "licence"], as_index=False).agg(dice=("dice", "max"), stretches=("at", "nunique"))
+            inside = list(known.runs([t if isinstance(t, str) else None for t in pdf.text], set(zip(best.doc, best.licence, strict=True))))
+            if inside:
+                best = pd.concat([best, pd.DataFrame([(d, licence, round(v, 6), 1) for d, licence, v in inside], columns=["doc", "licence", "dice", "stretches"])], ignore_index=True)
             ids = pdf.doc_id.astype("Int64").array
             yield pd.DataFrame({"doc_id": ids.take(best.doc.to_numpy(np.int64)), "licence": objects(best.licence.tolist()), "dice": best.dice.astype(float), "stretches": best.stretches.astype("int64")})
 

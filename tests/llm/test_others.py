@@ -179,6 +179,37 @@ def test_licences_as_brute_force(make):
     assert license_scan.scanned(make([])).collect() == []
 
 
+def test_licences_inside_texts(make):
+    page = "some prose of the page goes on here and on. {} More prose of the page\nfollows and ends. " + "Nothing more is said of it. " * 40
+    full = {name: own[0] for name, own in license_scan.TEXTS.items()}
+    docs = [(k, page.format(text)) for k, text in enumerate(full.values())] + [(100, page.format("Released under the MIT License.")), (101, full["BSD-3-Clause"]), (102, "Copyright 2020 A\n" + full["MIT"].replace("\n\n", "\n")), (103, page.format("Released under a license.")), (104, page.format(" ".join(f"word{i}" for i in range(200)) + " " + license_scan.TEMPLATES["GPL-3.0"][1]))]
+    got = {(r.doc_id, r.licence): (r.dice, r.stretches) for r in license_scan.scanned(make(docs)).collect()}
+    assert all((k, name) in got for k, name in enumerate(full))
+    assert got[100, "MIT"] == (1.0, 1) and got[101, "BSD-3-Clause"][0] == 1.0 and (102, "MIT") in got and got[104, "GPL-3.0"] == (1.0, 1) and not any(d == 103 for d, _ in got)
+    bsd2 = list(full).index("BSD-2-Clause")
+    assert (bsd2, "BSD-3-Clause") not in got or got[bsd2, "BSD-3-Clause"][0] < 1
+
+
+def test_runs_as_brute_force():
+    rng = random.Random(7)
+    own = {n: (" ".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 12))),) for n in "PQRS"}
+    known = license_scan.Templates(own, 0.8)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(40))) for _ in range(800)] + [None, "", "a"]
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    want = {}
+    for d, text in enumerate(texts):
+        w = (text or "").split()
+        for name, (x,) in own.items():
+            b = pairs(x.split())
+            for i in range(len(w)):
+                for j in range(i + 2, min(len(w), i + 1 + int((len(x.split()) - 1) * 1.5 + 1e-9)) + 1):
+                    v = 2 * len(b & pairs(w[i:j])) / (len(b) + len(pairs(w[i:j])))
+                    if v >= 0.8 - 1e-9:
+                        want[d, name] = max(want.get((d, name), 0), v)
+    got = {(d, name): v for d, name, v in known.runs(texts, set())}
+    assert got.keys() == want.keys() and len(want) > 20 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def spots(text):
     common, words = set(spotsigs.COMMON.split()), re.findall(r"[^\W_]+", text.lower())
     out = set()
