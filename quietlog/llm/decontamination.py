@@ -1,7 +1,7 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of the test items, by block-max WAND.
 
-Passages are runs of words, each overlapping the next by half, at least twice as long as the longest item, so that a
-copied item lies whole in one. All items that score at or above their threshold are retrieved: an item's threshold is the least score
+Passages are runs of words, STEPS times as long as the longest item at least, that begin every STEPS-th part of that, so that an item
+lies whole in one even when other words between its parts make it three times as long. All items that score at or above their threshold are retrieved: an item's threshold is the least score
 a passage can have that holds OVERLAP of the item's five-word shingles (at most that many words can be missing: the heaviest),
 so none is missed. Work is skipped as in block-max WAND, for a batch of passages at a time: a passage whose terms' greatest weights
 do not add up to the least threshold is left at once; then a block of items whose block-wise greatest weights do not; only the rest is scored.
@@ -23,6 +23,8 @@ from quietlog.llm.textcore import PUNCTUATED, BATCH, Batch, grams, pieces, small
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
 K1, B_LENGTH = 1.2, 0.75
 BLOCK = 8
+#: Passages that hold a word.
+STEPS = 4
 #: Bytes of item texts in one index; more items make more indexes, each broadcast and run in its own pass.
 INDEX_BYTES = 8 << 20
 SENTENCE_END = re.compile(r"[.!?\n]\s*")
@@ -80,19 +82,19 @@ class Index:
             column = np.sort(weights[:, j])[::-1]
             threshold[j] = (column.sum() - column[:missing].sum()) * (1 - 1e-5)
         cuts = np.arange(0, n, BLOCK)
-        return Index(terms, weights, weights.max(axis=1), np.maximum.reduceat(weights, cuts, axis=1), threshold, np.minimum.reduceat(threshold, cuts), own, answers, [len(w) for w in words], [items[i][0] for i in kept], max(64, 2 * int(size.max())))
+        return Index(terms, weights, weights.max(axis=1), np.maximum.reduceat(weights, cuts, axis=1), threshold, np.minimum.reduceat(threshold, cuts), own, answers, [len(w) for w in words], [items[i][0] for i in kept], max(64, STEPS * int(size.max())))
 
     def search(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(document, first word, end, item, score) of all passages and items at or above the item's threshold. Document d has words h[first[d]:first[d+1]]."""
-        stride = self.window // 2
+        stride = self.window // STEPS
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = np.flatnonzero(self.terms[at] == h)
         doc = np.searchsorted(first, known, "right") - 1
         base = np.cumsum(np.diff(first) // stride + 2) - (np.diff(first) // stride + 2)  # passages before each document's
         step = (known - first[doc]) // stride
         passage = base[doc] + step
-        again = step > 0  # the passage that began one step earlier holds the word as well
-        pair = np.unique(np.concatenate([passage, passage[again] - 1]) * len(self.terms) + np.concatenate([at[known], at[known][again]]))
+        earlier = [step >= k for k in range(STEPS)]  # the passages that began up to STEPS - 1 steps earlier hold the word as well
+        pair = np.unique(np.concatenate([(passage[e] - k) * len(self.terms) + at[known][e] for k, e in enumerate(earlier)]))
         passage, term = pair // len(self.terms), pair % len(self.terms)
         start = np.flatnonzero(np.diff(passage, prepend=-1))
         if not len(start):

@@ -156,6 +156,16 @@ def test_leaks_as_brute_force(spark, make):
     assert decontamination.clean(make(docs), table.where("false")).count() == len(docs)
 
 
+@pytest.mark.parametrize("inserted", [0, 20, 30, 60, 118])
+def test_leaks_with_words_between_their_parts(inserted):
+    words = [f"w{i}" for i in range(59)]
+    item = " ".join(words[:40]) + ". " + " ".join(words[40:])
+    put = " ".join([*words[:30], *(f"in{i}" for i in range(inserted)), *words[30:]])
+    texts = [" ".join([*(f"x{i}" for i in range(before)), put, *(f"y{i}" for i in range(200))]) for before in range(2 * 59)]
+    found = decontamination.leaks(texts, [decontamination.Index.of([(1, item), (2, "other short item")])])
+    assert {d for d, _, i in found} == set(range(len(texts)))
+
+
 def test_licences_as_brute_force(make):
     t = license_scan.TEMPLATES
     docs = [(1, "foo\nReleased under the MIT License.\nbar"), (2, t["MIT"][2].upper().replace(",", " ,")), (3, "released under license"), (4, "x\n" + t["GPL-3.0"][1][:-40] + "\ny"), (5, "nothing here"), *[(i, x) for i, x in EDGES if i != 1]]
