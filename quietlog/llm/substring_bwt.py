@@ -4,7 +4,8 @@ Fragments that share a minimizer (see repeats) meet in a shard. Windows that are
 offsets, so the shard's texts are read as blocks of 8 bytes counted from the minimizer: a window is 49 or 50 whole blocks and up
 to 8 bytes at its ends. The shard's fragments are cut into parts; each part's transform is built on its own, and the
 parts are merged by interleave refinement, which also gives the common prefixes; intervals of the merged order with common prefixes
-of 49 or 50 blocks are the repeated intervals, and the bytes at the ends are compared as they are. No hash decides."""
+of 49 or 50 blocks are the repeated intervals, and the bytes at the ends are compared as they are. In a shard no hash decides; a minimizer with one distinct
+fragment, or with more than repeats.HOT of them, never gets there: hashes decide those."""
 
 from __future__ import annotations
 
