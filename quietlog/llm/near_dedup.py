@@ -8,7 +8,8 @@ many darts a text, however long it is; where one stays empty, the text throws tw
 
 Signatures join by bands. Texts with the same words are one node from the start. Buckets join nodes to candidate groups, without emitting pairs; a group is compared in one
 task on the full shingle sets, exactly, and gives only the links that join its classes. A group too large for a task is compared bucket by bucket,
-and a large bucket as pairs of blocks, so no task holds an unbounded group and no pair is left out."""
+and a large bucket as pairs of blocks, so no task holds an unbounded group and no pair that shares a band
+is left out. In a group that fits a task all pairs are compared, those that share no band too; in one too large only those that share a band."""
 
 from __future__ import annotations
 
