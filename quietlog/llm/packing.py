@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,19 +31,51 @@ from quietlog.llm.textcore import small_batches
 
 CAPACITY = 2048
 NUMBER_BUCKETS = 512
-WORDS_KEPT = 400_000
+#: Entries of a generation of chunks, and of pieces.
+CHUNKS_KEPT, PIECES_KEPT = 250_000, 400_000
+#: Chunks of printable ASCII and precomposed Latin letters: no normal form or case mapping changes them once they are in lower case.
+PLAIN = regex.compile("[\x21-\x7e\u00c0-\u024f]+")
+#: How the vocabulary's own rules cut a chunk before merging: each piece is merged by itself.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+END_MARK = "</w>"
+
+
+class Generations:
+    """A dictionary of at most two generations of `most` entries: what is not used during one is forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; those of the older one move to the newer. To be called before the keys are read."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        now, before = self.now, self.before
+        new = []
+        for k in keys:
+            if k not in now:
+                found = before.get(k)
+                if found is None:
+                    new.append(k)
+                else:
+                    now[k] = found
+        return new
 
 
 class Encoder:
     """Token ids of texts. No token spans white space in these vocabularies, so ids of the chunks between
-    spaces and line feeds are kept and used again. Two generations of at most WORDS_KEPT chunks: a chunk that is not used during one is forgotten."""
+    spaces and line feeds are kept and used again, and so are those of the pieces (runs of letters, of punctuation, single digits) that new chunks are made of."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
+        self.chunk, self.piece = Generations(CHUNKS_KEPT), Generations(PIECES_KEPT)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(END_MARK)]] = True
 
     def chunks(self, text: str) -> list[str]:
         # The vocabulary lower-cases one character at a time: the same, but for a last sigma; and special tokens are found before that.
@@ -50,22 +83,35 @@ class Encoder:
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 
+    def merge(self, pieces: list[str]) -> None:
+        """Ids of new pieces, many at a time: each ends with the only token of it that closes a word."""
+        kept = self.piece.now
+        for at in range(0, len(pieces), 1000):
+            some = pieces[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            end = np.flatnonzero(self.closes[ids]) + 1
+            if len(end) != len(some):  # not that kind of vocabulary
+                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    kept[w] = np.array(e.ids, "<u4").tobytes()
+                continue
+            raw, lo = ids.tobytes(), 0
+            for w, hi in zip(some, (end * 4).tolist(), strict=True):
+                kept[w] = raw[lo:hi]
+                lo = hi
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.kept) > WORDS_KEPT:
-            self.kept, self.before = {"": b""}, self.kept
-        kept, before = self.kept, self.before
         split = [self.chunks(t) for t in texts]
-        new = []
-        for w in {w for words in split for w in words if w not in kept}:
-            if w in before:
-                kept[w] = before[w]
-            else:
-                new.append(w)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
+        new = self.chunk.missing(set().union(*split))
+        kept = self.chunk.now
+        plain = {w: [w] if w.isalpha() else PIECE.findall(w) for w in new if PLAIN.fullmatch(w) and "<|" not in w and w == w.lower()}
+        self.merge(self.piece.missing(set().union(*plain.values())))
+        piece = self.piece.now
+        for w, parts in plain.items():
+            kept[w] = piece[parts[0]] if len(parts) == 1 else b"".join([piece[p] for p in parts])
+        odd = [w for w in new if w not in plain]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            kept[w] = np.array(e.ids, "<u4").tobytes()
         return [b"".join([kept[w] for w in words]) for words in split]
 
 
