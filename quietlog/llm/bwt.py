@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 
-def rotations(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rotations(symbols: np.ndarray, first: np.ndarray, levels: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, before): positions in the order of the circular strings that begin there, ties by position, and each
-    position's predecessor in its string. String i is symbols[first[i]:first[i+1]]; by prefix doubling."""
+    position's predecessor in its string. String i is symbols[first[i]:first[i+1]]; by prefix doubling. levels, if given, gets each round's ranks: by 1, 2, 4, ... symbols."""
     n = len(symbols)
     size = np.repeat(np.diff(first), np.diff(first))
     base = np.repeat(first[:-1], np.diff(first))
@@ -15,12 +15,40 @@ def rotations(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
     step, longest = 1, int(np.diff(first).max()) if n else 0
     while step < longest and n and rank.max() < n - 1:
+        if levels is not None:
+            levels.append(rank)
         pair = rank * (n + 1) + rank[base + (at + step) % size]
         rank = np.unique(pair, return_inverse=True)[1]
         step *= 2
+    if levels is not None:
+        levels.append(rank)
     return np.argsort(rank, kind="stable"), base + (at - 1) % size
 
 
+def common_prefixes(order: np.ndarray, first: np.ndarray, levels: list[np.ndarray], most: int) -> np.ndarray:
+    """Common prefix of each place of the order with the one before it, at most `most`; 0 for the first. levels: ranks by 1, 2, 4, ... symbols, as rotations gives them."""
+    n = len(order)
+    common = np.zeros(n, np.int64)
+    if n < 2:
+        return common
+    size = np.repeat(np.diff(first), np.diff(first))
+    base = np.repeat(first[:-1], np.diff(first))
+    shift = lambda p, by: base[p] + (p - base[p] + by) % size[p]
+    one, two = order[:-1], order[1:]
+    found = common[1:]
+    top = 1
+    while top * 2 <= most:
+        top *= 2
+    step = top
+    while step:
+        # A level that was never made was not needed: all ranks, or all whole rotations, were told apart before.
+        rank = levels[min(step.bit_length() - 1, len(levels) - 1)]
+        same = rank[shift(one, found)] == rank[shift(two, found)]
+        found[same] += step
+        step //= 2
+    return np.minimum(common, most)
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merges the transforms of several shards without sorting suffixes again.
 

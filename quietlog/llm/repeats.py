@@ -37,9 +37,10 @@ LAST = 2**63 - 1
 DID, TH, SPANS, WORD, BITS_OF = "__quietlog_did", "__quietlog_th", "__quietlog_spans", "__quietlog_word", "__quietlog_bits"
 
 
-def fragments(values: np.ndarray, first: np.ndarray, size: int, k: int) -> tuple[np.ndarray, ...]:
-    """(document, start, windows, anchor, key, hash) of the fragments. values: 64-bit units of all documents one after
-    another; document d has first[d] .. first[d+1]-1. start is in the document; anchor, the minimizer's place, from start."""
+def fragments(values: np.ndarray, first: np.ndarray, size: int, k: int, ahead: int = 0) -> tuple[np.ndarray, ...]:
+    """(document, start, windows, anchor, key, hash) of the fragments. values: 64-bit values of all units, one document after
+    another; document d has first[d] .. first[d+1]-1. start is in the document; anchor, the minimizer's place, from start. A value may speak for
+    the `ahead` units after its own too: then that many fewer of them make up a stretch."""
     width, found = size - k + 1, []
     total = len(values)
     for at in range(0, total, CHUNK):
@@ -49,7 +50,7 @@ def fragments(values: np.ndarray, first: np.ndarray, size: int, k: int) -> tuple
         doc = np.searchsorted(first, np.arange(at, at + len(own)), "right") - 1
         room = first[doc + 1] - at - np.arange(len(own))  # units to the end of the document
         p = prefix(own)
-        g = span(p, np.arange(len(own) - k + 1), np.arange(k, len(own) + 1))
+        g = span(p, np.arange(len(own) - k + 1), np.arange(k - ahead, len(own) + 1 - ahead))
         least = (g & ~U64((1 << 24) - 1)) | np.arange(len(g), dtype=U64)
         step = 1
         while 2 * step <= width:
@@ -64,7 +65,7 @@ def fragments(values: np.ndarray, first: np.ndarray, size: int, k: int) -> tuple
         at_start = ok & np.concatenate([[True], (place[1:] != place[:-1]) | ~ok[:-1] | (doc[1:n] != doc[: n - 1])])
         start = np.flatnonzero(at_start)
         stop = np.flatnonzero(ok & np.concatenate([at_start[1:] | ~ok[1:], [True]])) + 1
-        found.append((doc[start], start + at - first[doc[start]], stop - start, place[start] - start, g[place[start]].view(np.int64), span(p, start, stop - 1 + size).view(np.int64)))
+        found.append((doc[start], start + at - first[doc[start]], stop - start, place[start] - start, g[place[start]].view(np.int64), span(p, start, stop - 1 + size - ahead).view(np.int64)))
     if not found:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
@@ -85,6 +86,10 @@ class Kind:
     decide: Callable[[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
     #: whether the value of a window is the least document with it (else its weight, of 2 or more)
     by_document: bool
+    #: units after its own that a unit's value speaks for too
+    ahead: int = 0
+    #: numpy's type of a unit as it is sent
+    sent: str = "<u8"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -119,7 +124,7 @@ def fragment_table(docs: DataFrame, kind: Kind) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(it):
-            doc, s, n, a, key, frag = fragments(*kind.units(pdf.text.tolist()), kind.size, kind.k)
+            doc, s, n, a, key, frag = fragments(*kind.units(pdf.text.tolist()), kind.size, kind.k, kind.ahead)
             cut = np.searchsorted(doc, np.arange(len(pdf) + 1))
             some = np.flatnonzero(np.diff(cut))
             part = lambda x: objects([x[cut[d] : cut[d + 1]] for d in some])  # noqa: B023, E731
@@ -204,8 +209,7 @@ def verdicts(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["key", "frag"])
-        dtype = np.uint8 if kind.name == "bytes" else U64
-        parts = [np.frombuffer(x, dtype) for x in pdf.payload]
+        parts = [np.frombuffer(x, kind.sent) for x in pdf.payload]
         runs = kind.decide(parts, pdf.n.to_numpy(np.int64), pdf.a.to_numpy(np.int64), pdf.weight.to_numpy(np.int64), pdf.did.to_numpy(np.int64))
         out = pd.DataFrame({"key": pdf.key.to_numpy(), "frag": pdf.frag.to_numpy(), "runs": objects(as_runs(runs))})
         del parts, runs

@@ -1,8 +1,10 @@
 """Substring dedup with a compressed FM-index per shard: runs of WORDS words that stand in an earlier document.
 
 Fragments that share a minimizer (see repeats) meet in a shard. The shard's index is the Burrows-Wheeler transform of its fragments, over word
-numbers, in a wavelet matrix of packed bits with counts per 64; every window streams through it by backward search, all windows in step,
-and the least document in the interval it ends in, by a table of range minima, is the earliest that has it. Words are compared by 64-bit hashes."""
+numbers, in a wavelet matrix of packed bits with counts per 64. Documents' fragments stream through it from their last word to their first, all in step: a word is one
+backward-search step, a match that cannot grow is shortened to the interval its common prefixes give (its parent), and one longer than WORDS to the interval of WORDS.
+So every place gets its matching statistics, up to WORDS, in one pass; where they reach WORDS a window stands there, and the least document in its
+interval, by a table of range minima, is the earliest that has it. Words are compared by 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -13,8 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quietlog.llm.bwt import rotations
+from quietlog.llm.bwt import common_prefixes, rotations
 from quietlog.llm.repeats import Kind, all_with_spans, covered, runs_of
+from quietlog.llm.substring_bwt import word_units
 from quietlog.llm.textcore import Batch
 
 WORDS, K = 50, 16
@@ -49,28 +52,79 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Of strings of positive integers."""
+    """Of strings of positive integers. Matches are told apart up to `most` symbols."""
 
-    def __init__(self, strings: list[np.ndarray]):
+    def __init__(self, strings: list[np.ndarray], most: int = WORDS):
         size = np.array([len(s) + 1 for s in strings])
         self.at = np.concatenate([[0], np.cumsum(size)])
         text = np.zeros(self.at[-1], np.int64)
         for s, lo in zip(strings, self.at, strict=False):
             text[lo : lo + len(s)] = s
-        order, before = rotations(text, self.at)
+        levels: list[np.ndarray] = []
+        order, before = rotations(text, self.at, levels)
+        self.most = most
         self.of = np.repeat(np.arange(len(strings)), size)[order]
         self.matrix = WaveletMatrix(text[before[order]])
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text))])
-
-    def search(self, text: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Interval [lo, hi) of every pattern text[start:start+size], by backward search in step."""
-        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.at[-1], np.int64)
-        for back in range(size - 1, -1, -1):
-            c = text[start + back]
-            lo = self.less[c] + self.matrix.rank(c, lo)
-            hi = self.less[c] + self.matrix.rank(c, hi)
+        self.common = np.append(common_prefixes(order, self.at, levels, most), 0)  # with the place before; 0 at both ends
+        self.minima = [self.common.astype(np.uint8 if most < 256 else np.int64)]
+        while 2 ** len(self.minima) <= len(self.common):
+            half = 2 ** (len(self.minima) - 1)
+            self.minima.append(np.minimum(self.minima[-1][:-half], self.minima[-1][half:]))
+
+    def extended(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Intervals of the matches with one more symbol before them."""
+        known = symbol < len(self.less) - 1
+        c = np.where(known, symbol, 0)
+        start = self.less[c]
+        return np.where(known, start + self.matrix.rank(c, lo), 0), np.where(known, start + self.matrix.rank(c, hi), 0)
+
+    def widened(self, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest intervals around these in which all common prefixes have that depth."""
+        n = int(self.at[-1])
+        for k in range(len(self.minima) - 1, -1, -1):
+            table, step = self.minima[k], 2**k
+            at = lo - step + 1
+            ok = (at >= 1) & (table[np.clip(at, 0, len(table) - 1)] >= depth)
+            lo = np.where(ok, lo - step, lo)
+            ok = (hi + step <= n) & (table[np.minimum(hi, len(table) - 1)] >= depth)
+            hi = np.where(ok, hi + step, hi)
         return lo, hi
 
+    def statistics(self, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, lo, hi) of every place: the longest match, of at most `most` symbols, that begins there, and its interval. Document d is text[first[d]:first[d+1]]; its matches end in it."""
+        n = int(self.at[-1])
+        length, low, high = (np.zeros(len(text), np.int64) for _ in range(3))
+        size = np.diff(first)
+        lanes = np.argsort(-size, kind="stable")
+        longest = size[lanes]
+        match, lo, hi = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64), np.full(len(lanes), n, np.int64)
+        for back in range(int(longest[0]) if len(longest) else 0):
+            on = int(np.searchsorted(-longest, -back, "left"))  # lanes whose document is longer than back
+            at = first[lanes[:on] + 1] - 1 - back
+            m, a, b = match[:on], lo[:on], hi[:on]
+            symbol = text[at]
+            new_a, new_b = self.extended(symbol, a, b)
+            stuck = np.flatnonzero(new_a >= new_b)
+            while len(stuck):
+                # The parent interval: shorter by what does not let the match grow.
+                depth = np.where(m[stuck] > 0, np.minimum(np.maximum(self.common[a[stuck]], self.common[b[stuck]]), m[stuck] - 1), -1)
+                over = stuck[depth < 0]  # nothing begins with this symbol
+                m[over], a[over], b[over], new_a[over], new_b[over] = -1, 0, n, 0, n
+                stuck, depth = stuck[depth >= 0], depth[depth >= 0]
+                a[stuck], b[stuck] = self.widened(a[stuck], b[stuck], depth)
+                m[stuck] = depth
+                new_a[stuck], new_b[stuck] = self.extended(symbol[stuck], a[stuck], b[stuck])
+                stuck = stuck[new_a[stuck] >= new_b[stuck]]
+            m += 1
+            a[:], b[:] = new_a, new_b
+            long = np.flatnonzero(m > self.most)
+            if len(long):
+                m[long] = self.most
+                a[long], b[long] = self.widened(a[long], b[long], np.full(len(long), self.most))
+            length[at], low[at], high[at] = m, a, b
+        return length, low, high
+
 
 def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Least of values[lo:hi], for lo < hi."""
@@ -86,11 +140,6 @@ def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return out
 
 
-def word_units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    b = Batch(texts)
-    return b.hashes(), b.first
-
-
 def decide(parts: list[np.ndarray], n: np.ndarray, anchor: np.ndarray, weight: np.ndarray, did: np.ndarray, size: int = WORDS) -> list[np.ndarray]:
     """Per fragment, runs (from, to, least document) of windows."""
     if not parts:
@@ -98,11 +147,11 @@ def decide(parts: list[np.ndarray], n: np.ndarray, anchor: np.ndarray, weight: n
     length = np.array([len(p) for p in parts])
     text = np.unique(np.concatenate(parts), return_inverse=True)[1].astype(np.int64) + 1
     first = np.concatenate([[0], np.cumsum(length)])
-    index = FMIndex([text[a:b] for a, b in zip(first, first[1:], strict=False)])
+    index = FMIndex([text[a:b] for a, b in zip(first, first[1:], strict=False)], size)
+    _, lo, hi = index.statistics(text, first)
     of = np.repeat(np.arange(len(parts)), n)
-    start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-    lo, hi = index.search(text, start, size)
-    return runs_of(range_minima(did[index.of], lo, hi), n, -1)
+    start = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)  # every one of them matches size words: its own, at least
+    return runs_of(range_minima(did[index.of], lo[start], hi[start]), n, np.iinfo(np.int64).min)
 
 
 WORD_RUNS = Kind("words", WORDS, K, word_units, word_units, decide, True)

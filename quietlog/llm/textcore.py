@@ -19,9 +19,6 @@ GAP[[0x20, 9, 10, 11, 12, 13]] = True
 #: Gaps of a split that leaves punctuation out as well: all of ASCII but letters, digits and the apostrophe.
 PUNCTUATED = np.zeros(256, bool)
 PUNCTUATED[[i for i in range(128) if not (chr(i).isalnum() or chr(i) == "'")]] = True
-_RNG = np.random.default_rng(20260)
-#: A random odd 64-bit value per byte.
-BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 BASE = U64(0x9E3779B97F4A7C15)
 #: Characters worked on at once, and rows that Arrow sends at once: what a Python worker holds is a small multiple of these and of its longest text.
 BATCH, ARROW_ROWS = 1 << 18, 512
@@ -35,6 +32,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+#: Places of a word whose values are kept in a table.
+PLACES = 64
+SALTS = (U64(1), U64(0x5851F42D4C957F2D))
+PLACED = [mix(np.arange(PLACES * 256, dtype=U64) * BASE + salt) for salt in SALTS]
+
+
+def placed(code: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A random-looking value of each (place << 8 | byte). Sums of them tell strings apart with no structure that a repetitive text could meet by its make:
+    a polynomial modulo 2^64 would give long strings of two letters in certain orders the same value."""
+    out = PLACED[salt].take(code, mode="clip")
+    far = np.flatnonzero(code >= PLACES * 256)
+    if len(far):
+        out[far] = mix(code[far].astype(U64) * BASE + SALTS[salt])
+    return out
+
+
+def contexts(raw: np.ndarray) -> np.ndarray:
+    """A random-looking value of each byte with the seven after it (zeros beyond the end)."""
+    padded = np.append(raw, np.zeros(7, np.uint8))
+    return mix(np.ndarray((len(raw),), "<u8", padded, strides=(1,)) + BASE)
+
+
 def powers(n: int) -> np.ndarray:
     """BASE to the power 0 .. n-1, modulo 2^64."""
     global _POWERS
@@ -90,21 +109,19 @@ class Batch:
         self.first = np.searchsorted(self.start, np.concatenate([self.doc_at, [len(self.raw)]]))
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
 
-    def hashes(self, most: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first most bytes: a polynomial in its bytes, relative to its start, so no power exceeds the longest word."""
+    def hashes(self, most: int | None = None, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first most bytes; salt 0 or 1 gives independent ones."""
         if not len(self.start):
             return np.zeros(0, U64)
-        size = self.end - self.start
         lead = int(self.start[0])
         at = np.arange(len(self.bytes))
         at[:lead] = 0
         at[lead:] -= np.repeat(self.start, np.diff(np.append(self.start, len(self.bytes))))
         inside = ~self.gaps[self.bytes]
-        at[~inside] = 0
         if most:
             inside &= at < most
-            at[~inside] = 0
-        values = BYTE[self.bytes] * powers(int(size.max()) + 1)[at]
+        at[~inside] = 0
+        values = placed((at << 8) | self.bytes, salt)
         values[~inside] = 0
         return mix(np.add.reduceat(values, self.start))
 
