@@ -17,6 +17,7 @@ offset; pieces find their place by their number within their length, in one join
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -27,92 +28,182 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietlog.llm.store import written
-from quietlog.llm.textcore import small_batches
+from quietlog.llm.textcore import U64, Batch, mix, pieces, small_batches
 
 CAPACITY = 2048
 NUMBER_BUCKETS = 512
-#: Entries of a generation of chunks, and of pieces.
-CHUNKS_KEPT, PIECES_KEPT = 250_000, 400_000
+#: Chunks, and tokens of chunks, that a generation of kept ids holds at most.
+CHUNKS_KEPT, TOKENS_KEPT = 650_000, 8_000_000
 #: Chunks of printable ASCII and precomposed Latin letters: no normal form or case mapping changes them once they are in lower case.
 PLAIN = regex.compile("[\x21-\x7e\u00c0-\u024f]+")
-#: How the vocabulary's own rules cut a chunk before merging: each piece is merged by itself.
+#: How the vocabulary's own rules cut a chunk before merging: each piece is merged by itself, and the last token of a piece alone ends with END_MARK.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END_MARK = "</w>"
+BETWEEN = np.zeros(256, bool)
+BETWEEN[[0x20, 0x0A]] = True
 
 
-class Generations:
-    """A dictionary of at most two generations of `most` entries: what is not used during one is forgotten."""
+class Kept:
+    """Ids of chunks by 128 bits of hash: an open table in numpy arrays, some 50 bytes a chunk, that finds many chunks at a time."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int = CHUNKS_KEPT):
         self.most = most
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The keys that neither generation has; those of the older one move to the newer. To be called before the keys are read."""
-        if len(self.now) > self.most:
-            self.now, self.before = {}, self.now
-        now, before = self.now, self.before
-        new = []
-        for k in keys:
-            if k not in now:
-                found = before.get(k)
-                if found is None:
-                    new.append(k)
-                else:
-                    now[k] = found
-        return new
+        slots = 1 << max(4, int(most * 1.5).bit_length())
+        self.shift = U64(64 - slots.bit_length() + 1)
+        self.key, self.check = np.zeros(slots, U64), np.zeros(slots, U64)
+        self.start, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        #: The first token, 0, closes documents.
+        self.tokens, self.used, self.n = np.zeros(1 << 12, np.uint32), 1, 0
+
+    def full(self) -> bool:
+        return self.n > self.most or self.used > TOKENS_KEPT
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Slots of chunks; -1 for those that are not there. A key is never 0."""
+        out = np.full(len(key), -1)
+        todo = np.arange(len(key))
+        at = (key >> self.shift).astype(np.int64)
+        while len(todo):
+            there = self.key[at]
+            hit = (there == key[todo]) & (self.check[at] == check[todo])
+            out[todo[hit]] = at[hit]
+            on = ~hit & (there != 0)
+            todo, at = todo[on], (at[on] + 1) & (len(self.key) - 1)
+        return out
+
+    def add(self, key: np.ndarray, check: np.ndarray, tokens: np.ndarray, size: np.ndarray) -> None:
+        """Chunks that are not there yet, each once, their tokens one after another. The table grows as it must: full() says when to begin another."""
+        need = self.used + len(tokens)
+        if need > len(self.tokens):
+            self.tokens = np.append(self.tokens, np.zeros(max(need, 2 * len(self.tokens)) - len(self.tokens), np.uint32))
+        self.tokens[self.used : need] = tokens
+        start = self.used + np.cumsum(size) - size
+        self.used, self.n = need, self.n + len(key)
+        while 4 * self.n > 3 * len(self.key):
+            self.grow()
+        todo = np.arange(len(key))
+        at = (key >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.key[at] == 0
+            self.key[at[free]] = key[todo[free]]  # of several that want one place the last gets it
+            own = free & (self.key[at] == key[todo])
+            # Two chunks with one key and different checks: the slot holds the check that was written last.
+            self.check[at[own]] = check[todo[own]]
+            own &= self.check[at] == check[todo]
+            self.start[at[own]], self.size[at[own]] = start[todo[own]], size[todo[own]]
+            todo, at = todo[~own], (at[~own] + 1) & (len(self.key) - 1)
+
+    def grow(self) -> None:
+        old = np.flatnonzero(self.key)
+        key, check, start, size = self.key[old], self.check[old], self.start[old], self.size[old]
+        slots = 2 * len(self.key)
+        self.shift -= U64(1)
+        self.key, self.check = np.zeros(slots, U64), np.zeros(slots, U64)
+        self.start, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        todo, at = np.arange(len(key)), (key >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.key[at] == 0
+            self.key[at[free]], self.check[at[free]] = key[todo[free]], check[todo[free]]
+            own = free & (self.key[at] == key[todo]) & (self.check[at] == check[todo])
+            self.start[at[own]], self.size[at[own]] = start[todo[own]], size[todo[own]]
+            todo, at = todo[~own], (at[~own] + 1) & (len(self.key) - 1)
+
+    def gathered(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of these slots one after another, how many of each). Slot -1: the closing token."""
+        size = np.where(slot < 0, 1, self.size[slot])
+        start = np.where(slot < 0, 0, self.start[slot])
+        at = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+        return self.tokens[at], size
 
 
 class Encoder:
-    """Token ids of texts. No token spans white space in these vocabularies, so ids of the chunks between
-    spaces and line feeds are kept and used again, and so are those of the pieces (runs of letters, of punctuation, single digits) that new chunks are made of."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunk, self.piece = Generations(CHUNKS_KEPT), Generations(PIECES_KEPT)
+    """Token ids of texts. No token spans white space in these vocabularies, so ids of the chunks between spaces and line feeds are kept and used again, in two
+    generations: a chunk that is not used during one is forgotten."""
+
+    def __init__(self, path: str, chunks: int = CHUNKS_KEPT):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.merger = Tokenizer.from_file(path), None
+        how = json.loads(self.tokenizer.to_str())
+        steps = (how["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if len(steps) == 2 and steps[0].get("pattern") == {"Regex": PIECE.pattern} and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"] and how["model"].get("end_of_word_suffix") == END_MARK:
+            # The vocabulary cuts as PIECE does, so pieces of plain chunks need its merges only.
+            self.merger = Tokenizer.from_file(path)
+            self.merger.normalizer = normalizers.Sequence([])
+            self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith(END_MARK)]] = True
-
-    def chunks(self, text: str) -> list[str]:
-        # The vocabulary lower-cases one character at a time: the same, but for a last sigma; and special tokens are found before that.
-        if "<|" not in text and "\u03a3" not in text:
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
-
-    def merge(self, pieces: list[str]) -> None:
-        """Ids of new pieces, many at a time: each ends with the only token of it that closes a word."""
-        kept = self.piece.now
-        for at in range(0, len(pieces), 1000):
-            some = pieces[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            end = np.flatnonzero(self.closes[ids]) + 1
-            if len(end) != len(some):  # not that kind of vocabulary
-                for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    kept[w] = np.array(e.ids, "<u4").tobytes()
-                continue
-            raw, lo = ids.tobytes(), 0
-            for w, hi in zip(some, (end * 4).tolist(), strict=True):
-                kept[w] = raw[lo:hi]
-                lo = hi
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+        self.now, self.before = Kept(chunks), Kept(0)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the chunks one after another, how many of each), by the tokenizer itself."""
+        found = [np.array(e.ids, np.uint32) for at in range(0, len(chunks), 1000) for e in self.tokenizer.encode_batch_fast(chunks[at : at + 1000], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces, many in one call: the token that closes a piece tells where it ends."""
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(self.merger.encode_batch_fast([" ".join(pieces[at : at + 1000])], add_special_tokens=False)[0].ids, np.uint32) for at in range(0, len(pieces), 1000))])
+        size = np.diff(np.flatnonzero(self.closes[ids]) + 1, prepend=0)
+        return (ids, size) if len(size) == len(pieces) and size.sum() == len(ids) else self.encode(pieces)
+
+    def learn(self, b: Batch, key: np.ndarray, check: np.ndarray, new: np.ndarray) -> None:
+        """Keeps the chunks `new` of a batch. Plain ones of several pieces are put together from those."""
+        text = [b.raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(b.start[new].tolist(), b.end[new].tolist(), strict=True)]
+        parts = [None if not self.merger or not PLAIN.fullmatch(w) or "<|" in w else [w] if w.isalpha() else PIECE.findall(w) for w in text]
+        kind = np.fromiter((0 if p is None else min(len(p), 2) for p in parts), np.int64, len(parts))
+        for own, by in ((kind == 0, self.encode), (kind == 1, self.merge)):
+            if own.any():
+                self.now.add(key[new[own]], check[new[own]], *by([text[i] for i in np.flatnonzero(own)]))
+        several = [parts[i] for i in np.flatnonzero(kind == 2)]
+        if several:
+            pieces = Batch([" ".join(p for own in several for p in own)], gaps=BETWEEN)
+            slot = self.known(pieces)
+            ids, size = self.now.gathered(slot)
+            # A chunk that is a piece of another new one may be there by now.
+            at = new[kind == 2]
+            self.now.add(key[at], check[at], ids, np.add.reduceat(size, np.cumsum([0, *map(len, several)])[:-1]))
+
+    def known(self, b: Batch) -> np.ndarray:
+        """The slot of each chunk of the batch; those that are new are encoded first."""
+        key, check = b.hashes() | U64(1), b.hashes(salt=1)
+        slot = self.now.find(key, check)
+        lost = np.flatnonzero(slot < 0)
+        if len(lost):
+            lost = lost[np.unique(key[lost] ^ mix(check[lost]), return_index=True)[1]]
+            old = self.before.find(key[lost], check[lost])
+            again, new = lost[old >= 0], lost[old < 0]
+            if len(again):
+                self.now.add(key[again], check[again], *self.before.gathered(old[old >= 0]))
+            if len(new):
+                self.learn(b, key, check, new)
+            slot = self.now.find(key, check)
+        return slot
+
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(little-endian unsigned 32-bit ids of all texts, each with a closing 0; how many of each text)."""
+        # The vocabulary lower-cases one character at a time: the same as Python, but for a last sigma; and special tokens are found before that.
+        odd = [i for i, t in enumerate(texts) if t is not None and ("<|" in t or "\u03a3" in t)]
+        b = Batch([None if t is None or "<|" in t or "\u03a3" in t else t for t in texts] if odd else texts, lower=True, gaps=BETWEEN)
+        if self.now.full():
+            self.now, self.before = Kept(self.now.most), self.now
+        slot = np.insert(self.known(b), b.first[1:], -1)
+        ids, size = self.now.gathered(slot)
+        last = b.first[1:] + np.arange(len(texts))  # the places of the closing tokens
+        end = np.cumsum(size)[last]
+        count = np.diff(end, prepend=0)
+        if odd:
+            parts = np.split(ids, end[:-1])
+            for i in odd:
+                parts[i] = np.array([*self.tokenizer.encode(texts[i], add_special_tokens=False).ids, 0], np.uint32)
+            ids, count = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids.astype("<u4", copy=False), count
+
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.chunks(t) for t in texts]
-        new = self.chunk.missing(set().union(*split))
-        kept = self.chunk.now
-        plain = {w: [w] if w.isalpha() else PIECE.findall(w) for w in new if PLAIN.fullmatch(w) and "<|" not in w and w == w.lower()}
-        self.merge(self.piece.missing(set().union(*plain.values())))
-        piece = self.piece.now
-        for w, parts in plain.items():
-            kept[w] = piece[parts[0]] if len(parts) == 1 else b"".join([piece[p] for p in parts])
-        odd = [w for w in new if w not in plain]
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            kept[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([kept[w] for w in words]) for words in split]
+        ids, count = self.flat(texts)
+        return [x[:-1].tobytes() for x in np.split(ids, np.cumsum(count)[:-1])] if len(count) else []
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -126,22 +217,19 @@ def encoder_of(path: str) -> Encoder:
 
 
 def encoded(tokenizer_path: str, capacity: int):
-    end = (0).to_bytes(4, "little")
-
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(tokenizer_path)
-        for pdf in it:
-            for lo in range(0, len(pdf), 64):
-                part = pdf.iloc[lo : lo + 64]
-                rows = []
-                for doc, ids in zip(part.doc_id, encoder.ids([t if isinstance(t, str) else "" for t in part.text]), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        piece = ids[at : at + 4 * capacity]
-                        rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+        for pdf in pieces(it):
+            ids, count = encoder.flat([t if isinstance(t, str) else None for t in pdf.text])
+            parts = -(-count // capacity)
+            of = np.repeat(np.arange(len(pdf)), parts)
+            number = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = number * capacity
+            length = np.minimum(count[of] - start, capacity)
+            at = ((np.cumsum(count) - count)[of] + start) * 4
+            raw = memoryview(ids.tobytes())
+            crc = [zlib.crc32(raw[lo : lo + 4 * n]) for lo, n in zip(at.tolist(), length.tolist(), strict=True)]
+            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64").array[of], "piece": number.astype(np.int32), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64)})
 
     return run
 

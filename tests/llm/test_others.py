@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quietlog.llm import decontamination, license_scan, packing, queries, sharding, spotsigs, toxicity, url_filter
@@ -44,6 +45,17 @@ def test_encoder_is_the_tokenizer():
         assert ids == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@pytest.mark.parametrize("chunks", [packing.CHUNKS_KEPT, 40, 0])
+def test_encoder_with_generations_of_any_size(chunks):
+    rng = random.Random(chunks)
+    letters = ["a", "b", "é", "ß", "'s", "'", "!", "??", "1", "9", "Ǆ", "日", "-", "x\u0301"]
+    texts = ["".join(rng.choice([*letters, " ", " ", "\n"]) for _ in range(rng.randrange(400))) for _ in range(300)]
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), chunks)
+    for at in range(0, len(texts), 20):
+        for text, ids in zip(texts[at : at + 20], e.ids(texts[at : at + 20]), strict=True):
+            assert ids == np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_packing_is_whole_and_tight(make):
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice(["cat", "dog", "zebra"]) for _ in range(rng.choice([3, 50, 700, 900, 1300, 5000])))) for i in range(300)] + EDGES
@@ -59,10 +71,10 @@ def test_packing_is_whole_and_tight(make):
         assert at <= 2048
     total = sum(r.length for r in rows)
     assert len(by) <= -(-total // 2048) * 1.05 + 2
-    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = []
-    for (d, t), ids in zip(docs, e.ids([t or "" for _, t in docs]), strict=True):
-        ids += bytes(4)
+    for d, t in docs:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
         want += [(repr(d), k, at // 4, len(ids[at : at + 8192]) // 4, zlib.crc32(ids[at : at + 8192])) for k, at in enumerate(range(0, len(ids), 8192))]
     assert sorted((repr(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
     assert packing.pack(make([]), public_tokenizers.path("word_bpe_49k.json")).collect() == []
