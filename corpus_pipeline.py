@@ -22,8 +22,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the stretches of 400 bytes or more that stand elsewhere too."""
-    return substring_bwt.cut(docs)
+    """Texts without the runs of 50 words or more that stand in a document with a smaller doc_id too: of each repeated passage one copy is trained on."""
+    return substring_bwt.cut_later(docs)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
