@@ -168,6 +168,35 @@ def test_leaks_as_brute_force(spark, make):
     assert decontamination.clean(make(docs), table.where("false")).count() == len(docs)
 
 
+def test_scores_do_not_depend_on_the_indexes(spark, make, monkeypatch):
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choice(["red", "blue", "green", "of", "the"]) + str(rng.randrange(30)) for _ in range(rng.randrange(1, 40)))) for i in range(150)] + [(0, "same id"), (3, None), (4, "")]
+    docs = [(i, " ".join(["some words before", *(t or "" for _, t in rng.sample(items, 2)), "and after"])) for i in range(60)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for most, made in ((48 << 20, 1), (100_000, 2)):
+        monkeypatch.setattr(decontamination, "INDEX_BYTES", most)
+        assert len(decontamination.indexes(spark, table)) >= made
+        found.append(sorted(map(tuple, decontamination.matched(make(docs), table).collect())))
+    assert found[0] == found[1] and len(found[0]) >= 100
+    # Scores by the book, over all items; the best passage of so short a document is the document.
+    words = {k: re.findall(r"[a-z0-9']+", (t or "").lower()) for k, (_, t) in enumerate(items)}
+    words = {k: w for k, w in words.items() if w}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    for d, i, score, overlap, *_ in found[0]:
+        text = set(re.findall(r"[a-z0-9']+", docs[d][1].lower()))
+        scores = []
+        for k, w in words.items():
+            if items[k][0] == i:
+                total = 0.0
+                for t in set(w) & text:
+                    df = sum(t in x for x in words.values())
+                    tf = w.count(t)
+                    total += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                scores.append(total)
+        assert any(abs(score - s) < 1e-3 for s in scores) and overlap >= 0.8
+
+
 @pytest.mark.parametrize("inserted", [0, 20, 30, 60, 118])
 def test_leaks_with_words_between_their_parts(inserted):
     words = [f"w{i}" for i in range(59)]
