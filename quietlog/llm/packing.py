@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietlog.llm.store import written
-from quietlog.llm.textcore import U64, Batch, mix, pieces, small_batches
+from quietlog.llm.textcore import BATCH, U64, Batch, mix, pieces, small_batches
 
 CAPACITY = 2048
 NUMBER_BUCKETS = 512
 #: Chunks, and tokens of chunks, that a generation of kept ids holds at most.
-CHUNKS_KEPT, TOKENS_KEPT = 650_000, 8_000_000
+CHUNKS_KEPT, TOKENS_KEPT = 650_000, 4_000_000
 #: Chunks of printable ASCII and precomposed Latin letters: no normal form or case mapping changes them once they are in lower case.
 PLAIN = regex.compile("[\x21-\x7e\u00c0-\u024f]+")
 #: How the vocabulary's own rules cut a chunk before merging: each piece is merged by itself, and the last token of a piece alone ends with END_MARK.
@@ -121,15 +121,14 @@ class Encoder:
     generations: a chunk that is not used during one is forgotten."""
 
     def __init__(self, path: str, chunks: int = CHUNKS_KEPT):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.merger = Tokenizer.from_file(path), None
         how = json.loads(self.tokenizer.to_str())
         steps = (how["pre_tokenizer"] or {}).get("pretokenizers", [])
         if len(steps) == 2 and steps[0].get("pattern") == {"Regex": PIECE.pattern} and steps[1]["type"] == "ByteLevel" and not steps[1]["use_regex"] and how["model"].get("end_of_word_suffix") == END_MARK:
             # The vocabulary cuts as PIECE does, so pieces of plain chunks need its merges only.
-            self.merger = Tokenizer.from_file(path)
-            self.merger.normalizer = normalizers.Sequence([])
+            self.merger = Tokenizer(self.tokenizer.model)
             self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -182,6 +181,18 @@ class Encoder:
 
     def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(little-endian unsigned 32-bit ids of all texts, each with a closing 0; how many of each text)."""
+        long = [i for i, t in enumerate(texts) if t is not None and len(t) > BATCH and "<|" not in t]
+        ids, count = self.short([None if i in long else t for i, t in enumerate(texts)] if long else texts)
+        if long:
+            # A long text goes stretch by stretch, so that working memory does not grow with it; no chunk crosses a space or a line feed.
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i in long:
+                parts[i] = np.concatenate([*(self.short([part])[0][:-1] for part in stretches(texts[i])), np.zeros(1, "<u4")])
+            ids, count = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, count
+
+    def short(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """flat() in one go."""
         # The vocabulary lower-cases one character at a time: the same as Python, but for a last sigma; and special tokens are found before that.
         odd = [i for i, t in enumerate(texts) if t is not None and ("<|" in t or "\u03a3" in t)]
         b = Batch([None if t is None or "<|" in t or "\u03a3" in t else t for t in texts] if odd else texts, lower=True, gaps=BETWEEN)
@@ -206,6 +217,20 @@ class Encoder:
         return [x[:-1].tobytes() for x in np.split(ids, np.cumsum(count)[:-1])] if len(count) else []
 
 
+def stretches(text: str, most: int = BATCH) -> Iterator[str]:
+    """The text in stretches of at most `most` characters that end at a space or a line feed, which is left out; a longer word is a stretch of its own."""
+    lo = 0
+    while len(text) - lo > most:
+        cut = max(text.rfind(" ", lo, lo + most), text.rfind("\n", lo, lo + most))
+        if cut <= lo:
+            ends = [x for x in (text.find(" ", lo + most), text.find("\n", lo + most)) if x >= 0]
+            cut = min(ends, default=len(text))
+        yield text[lo:cut]
+        lo = cut + 1
+    if lo < len(text):
+        yield text[lo:]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
