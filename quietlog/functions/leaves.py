@@ -1,22 +1,21 @@
 """JSON bodies as leaves: path -> (compact JSON text, kind).
 
-Objects are flattened with '.'; arrays and scalars, null included, are leaves; empty objects vanish; a key with a dot stays as written.
-The kind keeps 3, 3.0 and "3" apart: null, bool, int, float, string, array, object (only below the depth limit). All of it runs in the JVM on VARIANT values."""
+Objects are flattened with '.', however deep; arrays and scalars, null included, are leaves; empty objects vanish; a key with a dot stays as written.
+The kind keeps 3, 3.0 and "3" apart: null, bool, int, float, string, array. All of it runs in the JVM on VARIANT values."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 8
 LEAF = "struct<json:string,kind:string>"
 
 
-def kind_of(variant: str) -> str:
-    t = f"schema_of_variant({variant})"
+def kind_of(variant: str, json: str) -> str:
+    """SQL of a leaf's kind, told by the first character of its JSON text; only of numbers the type is asked for."""
     return (
-        f"case when {variant} is null or {t} = 'VOID' then 'null' when {t} = 'BOOLEAN' then 'bool' when {t} in ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') then 'int' "
-        f"when {t} = 'STRING' then 'string' when startswith({t}, 'ARRAY') then 'array' when startswith({t}, 'OBJECT') then 'object' else 'float' end"
+        f"case substr({json}, 1, 1) when '\"' then 'string' when '[' then 'array' when 't' then 'bool' when 'f' then 'bool' when 'n' then 'null' "
+        f"else if(schema_of_variant({variant}) in ('BIGINT', 'INT', 'SMALLINT', 'TINYINT'), 'int', 'float') end"
     )
 
 
@@ -25,21 +24,26 @@ def body(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
-def flattened(variant: str, depth: int = DEPTH) -> str:
-    """SQL of an array of (key, value) leaves."""
+def flattened(variant: str) -> str:
+    """SQL of an array of (key, value) leaves.
+
+    One pass replaces the objects among the entries by their members. A body cannot need more passes than it has opening braces, so their number bounds them, and
+    passes stop where no object is left: flat bodies cost nothing more."""
+    members = "transform(map_entries(try_cast(e.value as map<string, variant>)), c -> struct(concat(e.key, '.', c.key) as key, c.value as value))"
+    once = f"flatten(transform(acc.e, e -> coalesce({members}, array(struct(e.key as key, e.value as value)))))"
+    more = "exists({x}, e -> try_cast(e.value as map<string, variant>) is not null)"
+    step = f"if(acc.go, element_at(transform(array({once}), x -> struct({more.format(x='x')} as go, x as e)), 1), acc)"
     entries = f"map_entries(try_cast({variant} as map<string, variant>))"
-    for _ in range(depth):
-        entries = (
-            f"flatten(transform({entries}, e -> if(startswith(schema_of_variant(e.value), 'OBJECT'), "
-            "transform(map_entries(try_cast(e.value as map<string, variant>)), c -> struct(concat(e.key, '.', c.key) as key, c.value as value)), array(struct(e.key as key, e.value as value)))))"
-        )
-    return f"filter({entries}, e -> not startswith(schema_of_variant(e.value), 'OBJECT<>'))"
+    braces = f"(length(to_json({variant})) - length(replace(to_json({variant}), '{{', '')))"
+    # A lambda's start value must have the type of its steps to the letter, nullability too.
+    start = f"element_at(transform(array({entries}), x -> struct({more.format(x='x')} as go, transform(x, e -> struct(e.key as key, e.value as value)) as e)), 1)"
+    return f"if({braces} < 2, transform({entries}, e -> struct(e.key as key, e.value as value)), aggregate(sequence(2, greatest(2, {braces})), {start}, (acc, i) -> {step}).e)"
 
 
-def with_leaves(df: DataFrame, variant: str = "body", to: str = "leaves", depth: int = DEPTH) -> DataFrame:
+def with_leaves(df: DataFrame, variant: str = "body", to: str = "leaves") -> DataFrame:
     """df with a map of leaves; an empty map for what is no object. Of two members with one path the later counts."""
-    df = df.withColumn(to, F.expr(f"coalesce({flattened(variant, depth)}, array())"))
-    df = df.withColumn(to, F.expr(f"transform({to}, e -> struct(e.key as key, struct(to_json(e.value) as json, {kind_of('e.value')} as kind) as value))"))
+    df = df.withColumn(to, F.expr(f"coalesce({flattened(variant)}, array())"))
+    df = df.withColumn(to, F.expr(f"transform(transform({to}, e -> struct(e.key as key, e.value as value, to_json(e.value) as json)), e -> struct(e.key as key, struct(e.json as json, {kind_of('e.value', 'e.json')} as kind) as value))"))
     last = f"filter({to}, (e, i) -> not exists(slice({to}, i + 2, size({to})), n -> n.key = e.key))"
     made = F.expr(f"map_from_entries(if(size(array_distinct({to}.key)) = size({to}), {to}, {last}))")
     # The optimizer would copy this into every predicate on the leaves and flatten the body once for each; it moves nothing past what it cannot foresee.
