@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
@@ -41,12 +41,12 @@ def mask(token: str) -> str:
 
 
 def mask_sql(token: str) -> str:
-    """The same in Spark SQL."""
+    """The same in Spark SQL. Only tokens with a digit can change."""
     core = f"regexp_extract({token}, '(?s)^[^A-Za-z0-9]*(.*?)[^A-Za-z0-9]*$', 1)"
     hexed = f"({core} rlike '^0[xX][0-9A-Fa-f]+$' or ({core} rlike '^[0-9A-Fa-f]{{8,}}$' and {core} rlike '[0-9]'))"
     lead = f"regexp_extract({token}, '(?s)^([^A-Za-z0-9]*)', 1)"
     tail = f"regexp_extract({token}, '(?s)[A-Za-z0-9]([^A-Za-z0-9]*)$', 1)"
-    return f"case when {token} rlike '{TAG}' then {token} when {hexed} then concat({lead}, '<HEX>', {tail}) else regexp_replace({token}, '[0-9]+', '<NUM>') end"
+    return f"case when not {token} rlike '[0-9]' then {token} when {token} rlike '{TAG}' then {token} when {hexed} then concat({lead}, '<HEX>', {tail}) else regexp_replace({token}, '[0-9]+', '<NUM>') end"
 
 
 def tokens(text: Column) -> Column:
@@ -81,3 +81,17 @@ def pattern_regex(pattern: list[str] | tuple[str, ...], header: str) -> str | No
         stamp = rf"(?:(?:{MONTHS})\s+\d{{1,2}}\s+\d\d:\d\d:\d\d|\d{{4}}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?)"
         return rf"(?U)^(?:<\d{{1,3}}>)?{stamp}\s+\S+\s+{token(pattern[0])}(?:\[[^\]\s]*\])?:\s*{body}\s*$"
     return rf"(?U)^\s*{body}\s*$"
+
+
+#: Both headers in one, as Spark reads it; the program's name is group 1.
+HEADER = ("^(?:" + BSD.pattern[1:].partition(r"\s+\S+\s+")[0] + "|" + ISO.pattern[1:].partition(r"\s+\S+\s+")[0] + r")\s+\S+\s+" + ISO.pattern.partition(r"\s+\S+\s+")[2]).replace("\\", "\\\\")
+
+
+def with_line_tokens(df: DataFrame, text: str = "text", tokens: str = "tokens", syslog: str = "syslog") -> DataFrame:
+    """df with line() of a text column: its masked tokens, header taken off, and whether there was one. Null has no tokens.
+
+    The optimizer would copy the regular expressions into every use of their results; it moves nothing past what it cannot foresee."""
+    df = df.withColumn(syslog, F.when(F.spark_partition_id() >= 0, F.regexp_extract(F.coalesce(text, F.lit("")), HEADER.replace("\\\\", "\\"), 1)))
+    rest = f"if({syslog} = '', coalesce({text}, ''), regexp_replace({text}, '{HEADER}', ''))"
+    words = f"concat(if({syslog} = '', cast(array() as array<string>), array({syslog})), filter(split({rest}, '(?U)\\\\s+'), w -> w <> ''))"
+    return df.withColumn(tokens, F.expr(f"transform({words}, w -> {mask_sql('w')})")).withColumn(syslog, F.col(syslog) != "")

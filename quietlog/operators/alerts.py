@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quietlog.functions import predicate as P
 from quietlog.functions.leaves import string_of
 from quietlog.model import LogSource, Source
+from quietlog.store import written
 
 
 @dataclass(frozen=True)
@@ -41,12 +42,19 @@ def scope(rule: Rule, sources: Sequence[Source]) -> Column:
     return F.col("source").isin(ok) if ok else F.lit(False)
 
 
-def matches(events: DataFrame, rules: Iterable[Rule], sources: Sequence[Source]) -> DataFrame:
-    """(rule, event_id, ts, leaves) of every rule that holds: all conditions in one projection over one scan."""
+def matches(events: DataFrame, rules: Iterable[Rule], sources: Sequence[Source], fields: Iterable[str] = ()) -> DataFrame:
+    """(rule, event_id, ts, of) of every rule that holds: all conditions in one projection over one scan. of: the texts of the named fields, in their order; the leaves go no further."""
     fired = [F.when(scope(r, sources) & P.compiled(r.condition, wide=False), F.lit(r.id)) for r in rules]
+    own = F.array(*(F.expr(string_of(leaf_of(name))) for name in fields)).cast("array<string>")
     if not fired:
-        return events.select(F.lit("").alias("rule"), "event_id", "ts", "leaves").where("false")
-    return events.withColumn("rule", F.explode(F.filter(F.array(*fired), lambda r: r.isNotNull()))).select("rule", "event_id", "ts", "leaves")
+        return events.select(F.lit("").alias("rule"), "event_id", "ts", own.alias("of")).where("false")
+    hit = F.filter(F.array(*fired), lambda r: r.isNotNull())
+    return events.select(hit.alias("hits"), "event_id", "ts", own.alias("of")).where(F.size("hits") > 0).select(F.explode("hits").alias("rule"), "event_id", "ts", "of")
+
+
+def leaf_of(field: str) -> str:
+    quoted = field.replace("\\", "\\\\").replace("'", "\\'")
+    return f"leaves['{quoted}']"
 
 
 def trailing_count(rows: DataFrame, keys: list[str], seconds: int, to: str = "in_span") -> DataFrame:
@@ -68,23 +76,29 @@ def trailing_distinct(rows: DataFrame, keys: list[str], value: str, seconds: int
 
 
 def alerts(events: DataFrame, rules: Sequence[Rule], correlations: Sequence[Correlation], sources: Sequence[Source]) -> DataFrame:
-    """(rule, event_id): for a correlation every event at which its count reaches the threshold. events: event_id, ts, source, leaves."""
-    hits = matches(events, rules, sources)
+    """(rule, event_id): for a correlation every event at which its count reaches the threshold. events: event_id, ts, source, leaves.
+
+    With correlations, matches are written once (small rows: a rule, an event and the fields that correlations name), and rules without a part in the result are not evaluated."""
+    used = {r for c in correlations for r in c.rules}
+    rules = [r for r in rules if not r.silent or r.id in used]
+    fields = sorted({f for c in correlations for f in (*c.group_by, *([c.field] if c.field else []))})
+    hits = matches(events, rules, sources, fields)
+    if correlations:
+        hits = written(hits, "matches")
     loud = [r.id for r in rules if not r.silent]
     out = hits.where(F.col("rule").isin(loud) if loud else F.lit(False)).select("rule", "event_id").distinct()
     for c in correlations:
         rows = hits.where(F.col("rule").isin(list(c.rules))).dropDuplicates(["event_id"])
         keys = []
         for i, name in enumerate(c.group_by):
-            leaf = f"leaves['{name}']"
-            rows = rows.withColumn(f"key_{i}", F.expr(string_of(leaf))).where(f"key_{i} is not null")
+            rows = rows.withColumn(f"key_{i}", F.col("of")[fields.index(name)]).where(f"key_{i} is not null")
             keys.append(f"key_{i}")
         if not keys:
             rows, keys = rows.withColumn("key_all", F.lit(0)), ["key_all"]
         if c.kind == "event_count":
             rows = trailing_count(rows, keys, c.seconds)
         elif c.kind == "value_count":
-            rows = rows.withColumn("counted", F.expr(string_of(f"leaves['{c.field}']"))).where("counted is not null")
+            rows = rows.withColumn("counted", F.col("of")[fields.index(c.field)]).where("counted is not null")
             rows = trailing_distinct(rows, keys, "counted", c.seconds)
         else:
             raise ValueError(f"{c.kind} correlations cannot be evaluated here")

@@ -13,11 +13,11 @@ from quietlog.operators.reduce import reduced
 
 
 def compared(full: DataFrame, forwarded: DataFrame) -> DataFrame:
-    """(rule, event_id, change): 'missing' from the forwarded alerts, or 'extra' in them."""
+    """(rule, event_id, change): 'missing' from the forwarded alerts, or 'extra' in them. Each side is evaluated once; one shuffle brings them together."""
     on = ["rule", "event_id"]
-    missing = full.select(*on).distinct().join(forwarded.select(*on), on, "left_anti").withColumn("change", F.lit("missing"))
-    extra = forwarded.select(*on).distinct().join(full.select(*on), on, "left_anti").withColumn("change", F.lit("extra"))
-    return missing.unionByName(extra)
+    both = full.select(*on, F.lit(1).alias("was"), F.lit(0).alias("is")).unionByName(forwarded.select(*on, F.lit(0).alias("was"), F.lit(1).alias("is")))
+    seen = both.groupBy(*on).agg(F.max("was").alias("was"), F.max("is").alias("is")).where("was <> is")
+    return seen.select(*on, F.when(F.col("was") == 1, "missing").otherwise("extra").alias("change"))
 
 
 def forwarded_events(reduced_events: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quietlog.model import WINDOW_SECONDS
+from quietlog.store import new_path
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A folder for checkpoints and output: below spark.checkpoint.dir, or, where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quietlog-stream-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A folder for checkpoints and output in the shared folder."""
+    return new_path(spark, tag)
 
 
 def windowed(reduced_stream: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -56,20 +56,57 @@ def test_trailing_count_at_equal_times(spark):
     assert [r.in_span for r in trailing_count(rows, ["k"], 60).orderBy("event_id").collect()] == [1, 2, 3, 4, 1]
 
 
+def by_the_book(lines, children=100):
+    """Drain one line after the other, in plain Python: {event: (leaf, cluster)}, and the final patterns."""
+    branches, leaves, where = {}, {}, {}
+    for event, text in lines:
+        tokens = [mask(x) for x in line(text)[0]]
+        own = branches.setdefault(len(tokens), set())
+        key = None
+        if tokens:
+            key = tokens[0]
+            if key not in own:
+                key = "<*>" if any(c.isdigit() for c in key) or len(own) + 1 >= children else key
+            own.add(key)
+        clusters = leaves.setdefault((len(tokens), key), [])
+        best, rank = None, None
+        for i, c in enumerate(clusters):
+            same = sum(a == b and a != "<*>" for a, b in zip(c, tokens, strict=True)) / len(c) if c else 1.0
+            r = (same, c.count("<*>"))
+            if same >= 0.4 and (rank is None or r > rank):
+                best, rank = i, r
+        if best is None:
+            best = len(clusters)
+            clusters.append(tokens)
+        else:
+            clusters[best] = [a if a == b else "<*>" for a, b in zip(clusters[best], tokens, strict=True)]
+        where[event] = (len(tokens), key, best)
+    return where, leaves
+
+
 def test_drain_as_one_run_after_the_other(spark):
     rng = random.Random(5)
-    shapes = ["user {} logged in from {}", "disk {} full at {} percent", "{} failed", "session {} closed by {} after {} tries", "7up {} x"]
-    lines = [(i, rng.choice(shapes).format(*(rng.choice(["anna", "ben", "c" + str(rng.randrange(99)), str(rng.randrange(9))]) for _ in range(3)))) for i in range(400)]
-    df = spark.createDataFrame([("s", i, t) for i, t in lines], "source string, event_id long, text string")
-    got = {r.event_id: tuple(r.pattern) for r in drain.clusters(df).collect()}
-    trees, where = {}, {}
-    for i, t in lines:
-        tokens = [mask(x) for x in line(t)[0]]
-        key = (len(tokens), "<*>" if any(c.isdigit() for c in tokens[0]) else tokens[0])
-        where[i] = (key, trees.setdefault(key, drain.Drain()).add(tokens))
-    # Lines of one masked form share their last cluster; patterns are final ones.
-    assert set(got.values()) == {tuple(c) for t in trees.values() for c in t.clusters}
-    assert sum(got[i] == tuple(trees[k].clusters[c]) for i, (k, c) in where.items()) > 0.95 * len(lines)
+    shapes = ["user {} logged in from {}", "disk {} full at {} percent", "{} failed", "session {} closed by {} after {} tries", "7up {} x", "<13>Jan  2 03:04:05 host sshd[9]: closed {} {}", "%SYS-5-UP: {} and {}"]
+    value = lambda: rng.choice(["anna", "ben", "c" + str(rng.randrange(99)), str(rng.randrange(9)), "ax", "<*>"])
+    lines = [(i, rng.choice(shapes).format(value(), value(), value())) for i in range(500)]
+    lines += [(600 + i, t) for i, t in enumerate(["a b c d e", "a b x y z", "a q c d e", "a b c d e", "a b c d e", "a q c d e"] * 3)]
+    lines += [(700 + i, " ".join(rng.choice("abc") for _ in range(4))) for i in range(400)]
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(130)]
+    lines += [(2000 + i, f"{rng.choice(words)} {rng.choice('xy')} tail") for i in range(500)] + [(3000, ""), (3001, "   ")]
+    where, leaves = by_the_book(lines)
+    df = spark.createDataFrame([("s", i, t) for i, t in lines], "source string, event_id long, text string").repartition(5)
+    rows = drain.clusters(df).collect()
+    assert len(rows) == len(lines)
+    groups: dict = {}
+    for r in rows:
+        n, key, k = where[r.event_id]
+        assert r.pattern == leaves[n, key][k], r
+        groups.setdefault((n, key, k), set()).add(r.cluster_id)
+    assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+    assert sum(k == "<*>" for _, k in leaves) >= 2
+    tree = drain.Drain()
+    assert [tree.add(x.split()) for x in ("a b c d e", "a b x y z", "a q c d e", "a b c d e")] == [0, 0, 1, 1]
+    assert tree.clusters == [["a", "b", "<*>", "<*>", "<*>"], ["a", "<*>", "c", "d", "e"]]
 
 
 RULES = r"""
