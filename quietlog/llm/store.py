@@ -1,29 +1,5 @@
-"""Tables written to the shared folder, to cut lineage so that a lost executor costs a task, not a job."""
+"""Tables in the shared folder, as the rest of the library writes them."""
 
-from __future__ import annotations
+from quietlog.store import shared_dir, shuffle_width, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="quietlog-shared-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quietlog-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["shared_dir", "shuffle_width", "written"]
