@@ -106,34 +106,37 @@ GROUP = ["source", "length", "route"]
 def clustered_groups(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row per line with its cluster's number; after the last line of a group a row per cluster with its pattern."""
     now, drain = None, Drain()
+    done: list[tuple] = []
 
-    def patterns(group: tuple, done: Drain) -> pd.DataFrame:
-        n = done.n
-        out = pd.DataFrame({"source": [group[0]] * n, "length": [group[1]] * n, "route": [group[2]] * n, "event_id": pd.array([None] * n, dtype="Int64"), "syslog": pd.array([None] * n, dtype="boolean"), "line": [None] * n, "cluster": range(n)})
-        out["pattern"] = done.clusters
-        return out
+    def finish() -> None:
+        done.extend((*now, i, pattern) for i, pattern in enumerate(drain.clusters))
+
+    def patterns() -> pd.DataFrame:
+        out = pd.DataFrame(done, columns=["source", "length", "route", "cluster", "pattern"])
+        done.clear()
+        n = len(out)
+        return out.assign(event_id=pd.array([None] * n, dtype="Int64"), syslog=pd.array([None] * n, dtype="boolean"), line=None)[["source", "length", "route", "event_id", "syslog", "line", "cluster", "pattern"]]
 
     for pdf in it:
         group = list(zip(pdf.source, pdf.length, pdf.route, strict=True))
         edges = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
         cluster = np.empty(len(pdf), np.int64)
-        done = []
         lines = pdf.line.tolist()
         for lo, hi in zip(edges, edges[1:], strict=False):
             if lo == hi:
                 continue
             if group[lo] != now:
                 if now is not None:
-                    done.append(patterns(now, drain))
+                    finish()
                 now, drain = group[lo], Drain()
             add = drain.add_line
             cluster[lo:hi] = [add(x) for x in lines[lo:hi]]
-        out = pdf.assign(cluster=cluster)
-        out["pattern"] = None
-        yield out
-        yield from done
+        yield pdf.assign(cluster=cluster, pattern=None)
+        if done:
+            yield patterns()
     if now is not None:
-        yield patterns(now, drain)
+        finish()
+        yield patterns()
 
 
 def clusters(lines: DataFrame) -> DataFrame:
