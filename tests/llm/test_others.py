@@ -337,15 +337,44 @@ def test_similar_pairs_as_brute_force(spark):
 
 def test_url_parts_and_rules(spark):
     urls = ["http://Sub.Example.ORG/es/1?x#y", "https://example.org/en/12", "https://a.example.com/fr/1", "http://x.com/de/", "ftp://notexample.org", "nourl", None, "://", "http://h?q=/es/", "http://EXAMPLE.org#f/es/", "a://b://c/d", "http://org/x", "https://ÄB.net/p", ""]
-    rows = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, host int")
-    got = {r.page_id: r for r in url_filter.judge(rows.drop("host")).collect()}
+    rows = spark.createDataFrame([(i, u, 1, 2.5, "s", None) for i, u in enumerate(urls)], "page_id long, url string, host int, depth double, suffix string, label string")
+    got = {r.page_id: r for r in url_filter.judge(rows).collect()}
+    assert all((r.depth, r.suffix, r.label) == (2.5, "s", None) for r in got.values())
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(len(urls))] == [
         ("sub.example.org", "/es/1", "example.org/es/"), ("example.org", "/en/12", "example.org/en/1"), ("a.example.com", "/fr/1", "com/fr/"), ("x.com", "/de/", "com/de/"), ("notexample.org", "", None), ("", "", None), ("", "", None),
         ("", "", None), ("h", "", None), ("example.org", "", None), ("b:", "//c/d", None), ("org", "/x", "org/"), ("Äb.net", "/p", None), ("", "", None),
     ]
     assert all(got[i].verdict == ("allow" if got[i].rule in ("org/", "com/fr/") else "block") for i in got if got[i].rule)
     assert {r.verdict for r in got.values()} <= {"allow", "block"}
-    assert url_filter.judge(rows.where("false").drop("host")).collect() == []
+    assert url_filter.judge(rows.where("false")).collect() == []
+    assert len(url_filter.judge(rows.select("url")).collect()) == len(urls)
+
+
+def test_url_odd_rows(spark):
+    long = "http://x.example.com/fr/" + "a1/" * 60_000
+    urls = [(None, "http://x.com/de/1"), (1, "http://x.com/de/1"), (1, "http://x.com/de/1"), (2, long), (3, long + "?q=%F0"), (None, None), (None, None), (4, "http://no.rule/é日本")]
+    rows = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string")).collect()
+    assert sorted((repr(r.page_id), r.quietlog_url or "") for r in rows) == sorted((repr(i), u or "") for i, u in urls)
+    by = {}
+    for r in rows:
+        by.setdefault(r.quietlog_url, set()).add((r.verdict, r.score, r.rule))
+    assert all(len(v) == 1 for v in by.values()) and len(by[long]) == 1 and next(iter(by[long]))[2] == "com/fr/"
+
+
+def test_url_trees_judge_unseen_hosts(spark):
+    """Rules label half of the hosts; the trees must tell the other half apart by how their URLs are made."""
+    rng = random.Random(9)
+    good = lambda h: f"https://{h}.example/{'/'.join(rng.choice(['news', 'about', 'team', 'garden']) for _ in range(rng.randrange(1, 4)))}"
+    bad = lambda h: f"http://{h}.example/{rng.randrange(10**9)}/{rng.randrange(10**9)}?" + "&".join(f"p{i}={rng.randrange(10**6)}" for i in range(rng.randrange(3, 7)))
+    urls, truth = [], {}
+    for k in range(60):
+        for _ in range(12):
+            u = (bad if k % 2 else good)(f"h{k}")
+            urls.append((len(urls), u))
+            truth[len(urls) - 1] = "block" if k % 2 else "allow"
+    rules = [(f"h{k}.example/", "block" if k % 2 else "allow") for k in range(30)]
+    rows = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).where("rule is null").collect()
+    assert len(rows) == 360 and np.mean([r.verdict == truth[r.page_id] for r in rows]) > 0.95
 
 
 def test_url_trees_learn_from_labelled_urls(spark):
