@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietlog.llm.store import shuffle_width, written
+
 COMMON = (
     "a an and are as at be been but by for from had has have he her his in is it its not of on or she that the their there they this to was we were which will with you "
     "au aux avec ce ces dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous "
@@ -20,7 +22,8 @@ COMMON = (
 )
 CHAIN = 2
 NEVER = -(2**63)
-BUCKETS = 65536
+#: Keys of documents that one task puts in order.
+RANGE_KEYS = 1_000_000
 
 
 def with_signature(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -49,23 +52,19 @@ def likeness(a: str, b: str) -> Column:
 
 
 def following(keys: DataFrame) -> DataFrame:
-    """keys (did, th, without repeats) with next_did, next_th: the next key in descending order, after the last the first.
-
-    Keys fall into at most BUCKETS ranges of did, so no task sees the whole order; only each range's first key is looked at across ranges."""
-    low, high, n = keys.agg(F.min("did"), F.max("did"), F.count(F.lit(1))).first()
-    if not n:
-        return keys.withColumn("next_did", F.col("did")).withColumn("next_th", F.col("th"))
-    low = keys.where(F.col("did") != NEVER).agg(F.min("did")).first()[0] if low == NEVER else low
-    ranges = max(1, min(BUCKETS, n // 256))
-    low = float(low if low is not None else 0)
-    width = max(1.0, (float(high) - low + 1) / ranges)
-    keys = keys.withColumn("range", F.greatest(F.lit(-1.0), F.floor((F.col("did").cast("double") - low) / width)))
+    """keys (did, th, n_chars, without repeats) with next_did, next_th: the next key in descending order, after the last the first.
+
+    Keys are cut into ranges of about equal numbers, whatever the ids are, of at most RANGE_KEYS or so, so no task sees the whole order; only each range's first key is looked at across ranges."""
+    spark = keys.sparkSession
+    n = keys.count()
+    ranges = max(1, min(shuffle_width(spark), n // 1024), -(-n // RANGE_KEYS))
+    keys = written(keys.repartitionByRange(ranges, F.desc("did"), F.desc("th")).withColumn("range", F.spark_partition_id()), "order")
     key = F.struct("did", "th")
     inside = Window.partitionBy("range").orderBy(F.desc("did"), F.desc("th"))
     heads = keys.groupBy("range").agg(F.max(key).alias("head"))
     every = Window.partitionBy(F.lit(0))
-    across = heads.select("range", F.coalesce(F.lead("head").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("range"))), F.max("head").over(every)).alias("then"))
-    keys = keys.withColumn("after", F.lead(key).over(inside)).join(F.broadcast(across), "range")
+    across = heads.select("range", F.coalesce(F.lead("head").over(every.orderBy("range")), F.max("head").over(every)).alias("then"))
+    keys = keys.withColumn("after", F.lead(key).over(inside)).join(across, "range")  # a row per range: small enough for any join
     return keys.select("did", "th", "n_chars", F.coalesce("after.did", "then.did").alias("next_did"), F.coalesce("after.th", "then.th").alias("next_th"))
 
 

@@ -267,21 +267,27 @@ def spots(text):
     for i, w in enumerate(words):
         if w not in common:
             continue
-        chain, passed = [], 0
+        chain = []
         for y in words[i + 1 :]:
-            if y in common:
-                passed += 1
-                if passed > 8:
-                    break
-            else:
+            if y not in common:
                 chain.append(y)
-                passed = 0
                 if len(chain) == 2:
                     out.add((w, *chain))
                     break
     return out or set(words)
 
 
+def test_order_of_keys_with_outliers_and_ties(spark):
+    ids = [1, *range(10**15, 10**15 + 3000), 2**62, 2**62, 5, 5, spotsigs.NEVER]
+    keys = spark.createDataFrame([(i, k, 7) for k, i in enumerate(ids)], "did long, th long, n_chars long")
+    rows = spotsigs.following(keys).collect()
+    order = sorted(((r.did, r.th) for r in rows), reverse=True)
+    assert len(order) == len(ids)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    assert all((r.next_did, r.next_th) == after[r.did, r.th] and r.n_chars == 7 for r in rows)
+    assert spotsigs.following(keys.where("false")).collect() == []
+
+
 def test_fingerprints_as_brute_force(make):
     rng = random.Random(8)
     words = "the of and a la der und katze hund cat dog house tree sky été".split()
