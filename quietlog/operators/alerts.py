@@ -26,7 +26,8 @@ class Rule:
 
 @dataclass(frozen=True)
 class Correlation:
-    """event_count or value_count over the base rules' events, per group, in a trailing span that includes both ends."""
+    """Over the base rules' events, per group, in a trailing span that includes both ends. kind: event_count or value_count (compared with at_least by op), temporal (every base rule fired),
+    temporal_ordered (they fired in the order named)."""
 
     id: str
     kind: str
@@ -35,6 +36,7 @@ class Correlation:
     at_least: int
     group_by: tuple[str, ...] = ()
     field: str | None = None
+    op: str = "gte"
 
 
 def scope(rule: Rule, sources: Sequence[Source]) -> Column:
@@ -49,7 +51,31 @@ def matches(events: DataFrame, rules: Iterable[Rule], sources: Sequence[Source],
     if not fired:
         return events.select(F.lit("").alias("rule"), "event_id", "ts", own.alias("of")).where("false")
     hit = F.filter(F.array(*fired), lambda r: r.isNotNull())
-    return events.select(hit.alias("hits"), "event_id", "ts", own.alias("of")).where(F.size("hits") > 0).select(F.explode("hits").alias("rule"), "event_id", "ts", "of")
+    return events.select(F.explode(hit).alias("rule"), "event_id", "ts", own.alias("of"))
+
+
+COMPARED = {"gte": lambda c, n: c >= n, "gt": lambda c, n: c > n, "lte": lambda c, n: c <= n, "lt": lambda c, n: c < n, "eq": lambda c, n: c == n}
+
+
+def all_fired(hits: DataFrame, keys: list[str], rules: Sequence[str], seconds: int, ordered: bool) -> DataFrame:
+    """Rows of hits (rule, event_id, ts, keys) at which every rule has fired within the span that ends with them; with ordered, one after the other as named, the last one here.
+
+    One pass in the order of time with running maxima, however many events a span holds. Events of one second count in the order of their ids."""
+    at = F.unix_timestamp("ts")
+    # Of one event its rules count in the order they are named in.
+    place = F.array_position(F.array(*map(F.lit, rules)), F.col("rule"))
+    before = Window.partitionBy(*keys).orderBy(at, "event_id", place).rowsBetween(Window.unboundedPreceding, 0)
+    if not ordered:
+        for i, r in enumerate(rules):
+            hits = hits.withColumn(f"last_{i}", F.max(F.when(F.col("rule") == r, at)).over(before))
+        return hits.where(F.least(*(F.coalesce(f"last_{i}", F.lit(NEVER_FIRED)) for i in range(len(rules))), F.lit(2**62)) >= at - seconds)
+    hits = hits.withColumn("began", F.when(F.col("rule") == rules[0], at))
+    for r in rules[1:]:
+        hits = hits.withColumn("until", F.max("began").over(before)).withColumn("began", F.when(F.col("rule") == r, F.col("until")))
+    return hits.where((F.col("rule") == rules[-1]) & (F.col("began") >= at - seconds))
+
+
+NEVER_FIRED = -(2**62)
 
 
 def leaf_of(field: str) -> str:
@@ -88,7 +114,9 @@ def alerts(events: DataFrame, rules: Sequence[Rule], correlations: Sequence[Corr
     loud = [r.id for r in rules if not r.silent]
     out = hits.where(F.col("rule").isin(loud) if loud else F.lit(False)).select("rule", "event_id").distinct()
     for c in correlations:
-        rows = hits.where(F.col("rule").isin(list(c.rules))).dropDuplicates(["event_id"])
+        rows = hits.where(F.col("rule").isin(list(c.rules)))
+        if not c.kind.startswith("temporal"):
+            rows = rows.dropDuplicates(["event_id"])
         keys = []
         for i, name in enumerate(c.group_by):
             rows = rows.withColumn(f"key_{i}", F.col("of")[fields.index(name)]).where(f"key_{i} is not null")
@@ -100,9 +128,13 @@ def alerts(events: DataFrame, rules: Sequence[Rule], correlations: Sequence[Corr
         elif c.kind == "value_count":
             rows = rows.withColumn("counted", F.col("of")[fields.index(c.field)]).where("counted is not null")
             rows = trailing_distinct(rows, keys, "counted", c.seconds)
+        elif c.kind in ("temporal", "temporal_ordered"):
+            rows = all_fired(rows, keys, c.rules, c.seconds, c.kind == "temporal_ordered")
+            out = out.unionByName(rows.select(F.lit(c.id).alias("rule"), "event_id").distinct())
+            continue
         else:
             raise ValueError(f"{c.kind} correlations cannot be evaluated here")
-        out = out.unionByName(rows.where(F.col("in_span") >= c.at_least).select(F.lit(c.id).alias("rule"), "event_id"))
+        out = out.unionByName(rows.where(COMPARED[c.op](F.col("in_span"), c.at_least)).select(F.lit(c.id).alias("rule"), "event_id"))
     return out
 
 

@@ -21,8 +21,8 @@ def compared(full: DataFrame, forwarded: DataFrame) -> DataFrame:
 
 
 def forwarded_events(reduced_events: DataFrame) -> DataFrame:
-    """What arrives: forwarded events with the leaves that are left."""
-    return reduced_events.where("route = 'forward'").withColumn("leaves", F.col("kept"))
+    """What arrives: forwarded events with the leaves that are left. All removals of all plans are one expression: it is kept from being copied into every rule."""
+    return reduced_events.where("route = 'forward'").withColumn("leaves", F.when(F.spark_partition_id() >= 0, F.col("kept")))
 
 
 @dataclass
@@ -74,3 +74,17 @@ def spot_checks(reduced_events: DataFrame, k: int = 5) -> DataFrame:
 
     of = Window.partitionBy("template_id", "route").orderBy("event_id")
     return reduced_events.withColumn("place", F.row_number().over(of)).where(F.col("place") <= k)
+
+
+def examples(reduced_events: DataFrame, n: int) -> DataFrame:
+    """n events for a report: the first of every template and outcome, then the second of each, and so on."""
+    from pyspark.sql import Window
+
+    first = spot_checks(reduced_events, n)  # n a template and outcome at most, so the order over all is over few rows
+    turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place", "template_id", "route"))
+    return first.withColumn("turn", turn).where(F.col("turn") <= n)
+
+
+def fixtures(reduced_events: DataFrame) -> DataFrame:
+    """The first event of every source, template, outcome and whether it stays whole: one regression test each."""
+    return reduced_events.groupBy("source", "template_id", "route", "whole").agg(F.min("event_id").alias("event_id"))

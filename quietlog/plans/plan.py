@@ -150,18 +150,35 @@ def report(a: Analysis) -> str:
 
 
 def verified(plan_text: str, events: DataFrame, sources: Sequence[Source], rules: Sequence[Requirement], engine: Callable[[DataFrame], DataFrame], complete: bool = True) -> tuple[str, dict]:
-    """(verdict, changes) of an older plan on new events and the rules of today."""
+    """(verdict, changes) of an older plan on new events and the rules of today. changes: rules added, removed and changed; alerts missing and extra; templates whose saving fell by ten points or
+    more (drifted: template, before, after, lost), those the events no longer hold (absent), and the share of events of no known template per source (unknown)."""
     from quietlog.operators.proof import compared, forwarded_events
-    from quietlog.plans.verify import verdict
+    from quietlog.plans.verify import absent, drift, saved_pct, unknown_share, verdict
 
     plans, doc = read_plan(plan_text)
+    spark = events.sparkSession
     known = [Template(t["id"], t["source"], discriminators=tuple(map(tuple, t["discriminators"])), variants=tuple(map(tuple, t["keysets"])), pattern=tuple(t["pattern"]), header=t["header"]) for t in doc["templates"]]
     prepared = discovery.prepared(events, {s.id: s.event_type_fields() for s in sources})
-    assigned = discovery.classified(prepared, known, sources)
-    missing, extra = compared(engine(assigned), engine(forwarded_events(reduced(assigned, plans)))).agg(F.count_if(F.col("change") == "missing"), F.count_if(F.col("change") == "extra")).first()
-    now, then = fingerprints(rules), doc["rules"]
-    changed = {"added": sorted(set(now) - set(then)), "removed": sorted(set(then) - set(now)), "changed": sorted(r for r in set(now) & set(then) if now[r] != then[r]), "missing": missing, "extra": extra}
-    return verdict(not missing and not extra, sum(len(changed[k]) for k in ("added", "removed", "changed")), complete, 0), changed
+    assigned = discovery.classified(prepared, known, sources).persist()
+    try:
+        after = reduced(assigned, plans, {t.id: t.fields for t in known})
+        missing, extra = compared(engine(assigned), engine(forwarded_events(after))).agg(F.count_if(F.col("change") == "missing"), F.count_if(F.col("change") == "extra")).first()
+        bodies = with_bodies(after)
+        # As many rows as there are templates and sources, not events.
+        found = [(r.template_id, r.bytes_in, r.bytes_out) for r in volumes(bodies, summaries(bodies)).collect() if r.template_id not in (None, "unknown")]
+        current = spark.createDataFrame(found, "template string, bytes_in long, bytes_out long")
+        then = spark.createDataFrame([(t["id"], t["bytes"], t["bytes_out"]) for t in doc["templates"] if t["bytes_out"] is not None], "template string, bytes_in long, bytes_out long")
+        drifted = [r.asDict() for r in drift(saved_pct(then).select("template", "saved_pct"), saved_pct(current).select("template", "saved_pct")).orderBy("template").collect()]
+        gone = sorted(r.template for r in absent(then, current).collect())
+        unknown = {r.source: r.unknown_pct for r in unknown_share(assigned).collect()}
+    finally:
+        assigned.unpersist()
+    now, was = fingerprints(rules), doc["rules"]
+    changed = {
+        "added": sorted(set(now) - set(was)), "removed": sorted(set(was) - set(now)), "changed": sorted(r for r in set(now) & set(was) if now[r] != was[r]), "missing": missing, "extra": extra,
+        "drifted": drifted, "absent": gone, "unknown": unknown,
+    }
+    return verdict(not missing and not extra, sum(len(changed[k]) for k in ("added", "removed", "changed")), complete, len(drifted)), changed
 
 
 __all__ = ["Analysis", "Mapping", "analyze", "plan_json", "read_plan", "report", "schema", "verified"]

@@ -62,4 +62,19 @@ def verdict(proof_holds: bool, changed_rules: int, complete: bool, drifted: int)
     return "out_of_date" if changed_rules or not complete or drifted else "holds"
 
 
+#: What is known about a set of rules: nothing, that someone said it is all, that it was fetched, that it needs no others.
+BASES = ("not_known", "claimed", "fetched", "self_contained")
+
+
+def weakest(bases: Iterable[str]) -> str:
+    """The basis of several rule sets together: the weakest, the first of equally weak ones; fetched and self-contained weigh the same. Not known without any."""
+    weight = {"not_known": 0, "claimed": 1, "fetched": 2, "self_contained": 2}
+    return min(bases, key=weight.__getitem__, default="not_known")
+
+
+def rules_per_set(requirements: DataFrame) -> DataFrame:
+    """(set, rules) of requirements (set, rule): a rule read in several ways counts once."""
+    return requirements.groupBy("set").agg(F.count_distinct("rule").alias("rules"))
+
+
 EXIT_CODES = {"holds": 0, "does_not_hold": 1, "out_of_date": 3}

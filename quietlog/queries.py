@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,14 +215,6 @@ def proof_missing_extra(spark, sf_dir):
     return proof.compared(ask(df), ask(proof.forwarded_events(reduced(with_template(df), PLANS))))
 
 
-@query("select t as template, t not in ('error') as still_reduces from (values ('view'), ('click'), ('error')) v(t)")
-def proof_rollback(spark, sf_dir):
-    """The same plan after rolling back what changed an alert."""
-    df = with_template(prepared(spark, sf_dir))
-    found = proof.select_proven(df, PLANS, lambda events: alerts(events, RULES, [BURST], [EVENTS]))
-    return spark.createDataFrame([(t, p.reduces()) for t, p in found.plans.items()], "template string, still_reduces boolean")
-
-
 def people(spark, sf_dir) -> DataFrame:
     """Customers with their nation and region: fields that imply each other."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
@@ -270,15 +260,6 @@ def implied_by_field(spark, sf_dir):
     return implied.implied_by_field(leaves, candidates, closed).select("when_field", "when_value", "field", "value", "held", "total")
 
 
-@query()
-def implied_chosen(spark, sf_dir):
-    """The values to leave out: largest savings first, no field that implies another."""
-    leaves, candidates, mid = mined(spark, sf_dir)
-    alone = implied.constants(leaves, candidates)
-    closed = implied.closed_categories(leaves, candidates, mid.select("template_id", "middle"))
-    return implied.chosen(alone, implied.implied_by_field(leaves, candidates, closed))
-
-
 @query("select 'customers' as template_id, cast(count(*) as bigint) as events, cast(0 as bigint) as mismatches, cast(count(*) as bigint) as shorter from customer")
 def rebuild_roundtrip(spark, sf_dir):
     """Implied values left out and put back: every body as before."""
@@ -332,24 +313,6 @@ def first_k_per_template(spark, sf_dir):
     return proof.spot_checks(reduced(with_template(prepared(spark, sf_dir)), PLANS)).select("template_id", "route", "event_id")
 
 
-@query("select * from (values ('event_type', 'event_type', 'string'), ('props.k', 'props_k', 'long'), ('user_id', 'user_id', 'long'), ('value', 'value', 'string')) v(path, name, type)")
-def custom_table(spark, sf_dir):
-    """The table that the events would need."""
-    return accounting.inferred_columns(prepared(spark, sf_dir))
-
-
-@query()
-def saved_by_mode(spark, sf_dir):
-    bodies = applied(spark, sf_dir)
-    return accounting.saved_by_mode(bodies, volumes(bodies, summaries(bodies)), {})
-
-
-@query()
-def tier_costs(spark, sf_dir):
-    bodies = applied(spark, sf_dir)
-    return accounting.tier_costs(volumes(bodies, summaries(bodies)))
-
-
 @query(PEOPLE + """, n as (select field, v, count(*) k from l group by 1, 2), t as (select field, sum(k) total, max(k) held from n group by 1),
 b as (select t.field, min(v) v, held, total from t join n on n.field = t.field and k = held group by 1, 3, 4), p as (select unnest([100, 99, 95, 90, 50]) as percent)
 select percent, cast(sum(held * (length(field) + 4 + octet_length(encode(v)))) as bigint) as bytes, cast(count(*) as bigint) as fields from b, p where held * 100 >= total * percent group by 1""")
@@ -381,4 +344,6 @@ def stream_summaries(spark, sf_dir):
     return found.select("template_id", "minute", F.array_join("summary_keys", ",").alias("summary_keys"), "events")
 
 
-__all__ = ["ORACLE_SQL", "QUERIES", "replace"]
+from quietlog import rule_queries  # noqa: E402 - registers its queries with those above
+
+__all__ = ["ORACLE_SQL", "QUERIES", "rule_queries"]

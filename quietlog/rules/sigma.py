@@ -316,9 +316,12 @@ def correlation(d: dict, rule: str, by_name: dict[str, dict], out: Loaded) -> No
     wide = P.any_of([P.widened(compiled(b, False)) for b in base if "detection" in b]) if all("detection" in b for b in base) else P.ALWAYS
     scopes = {logsource(b) for b in base}
     out.requirements.append(Requirement(rule, scopes.pop() if len(scopes) == 1 else LogSource(), "sigma", frozenset(reads), False, True, False, wide))
-    at_least = cond.get("gte", cond["gt"] + 1 if "gt" in cond else None)
-    if c["type"] in ("event_count", "value_count") and at_least is not None and not aliases and all("detection" in b for b in base):
-        names = tuple(str(b.get("id") or b.get("name") or b.get("title")) for b in base)
-        out.correlations.append(Correlation(rule, c["type"], names, seconds(c["timespan"]), int(at_least), keys, cond.get("field")))
+    ops = [k for k in ("gte", "gt", "lte", "lt", "eq") if k in cond]
+    names = tuple(str(b.get("id") or b.get("name") or b.get("title")) for b in base)
+    simple = not aliases and all("detection" in b for b in base) and not isinstance(cond.get("field"), list)
+    if c["type"] in ("event_count", "value_count") and len(ops) == 1 and simple:
+        out.correlations.append(Correlation(rule, c["type"], names, seconds(c["timespan"]), int(cond[ops[0]]), keys, cond.get("field"), ops[0]))
+    elif c["type"] in ("temporal", "temporal_ordered") and not ops and simple:
+        out.correlations.append(Correlation(rule, c["type"], names, seconds(c["timespan"]), len(names), keys))
     else:
         out.problems.append(f"{rule}: {c['type']} is kept for the guard, not evaluated")

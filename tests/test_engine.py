@@ -156,7 +156,17 @@ def test_sample_from_end_to_end(spark):
     with pytest.raises(ValueError):
         plan.read_plan(json.dumps({"format": "other/1"}))
     verdict, changes = plan.verified(text, sample, synth.SOURCES, loaded.requirements[1:], engine)
-    assert verdict == "out_of_date" and changes["removed"] and not changes["missing"]
+    assert verdict == "out_of_date" and changes["removed"] and not changes["missing"] and not changes["drifted"] and not changes["absent"] and set(changes["unknown"].values()) == {0.0}
+    # The same plan, as if it had saved 30 points more on one template, on events that lack another and bring a new one.
+    doc = json.loads(text)
+    largest = next(t for t in doc["templates"] if t["bytes_out"] and t["bytes_out"] > 0.4 * t["bytes"])
+    largest["bytes_out"] = int(largest["bytes_out"] - 0.3 * largest["bytes"])
+    lost = next(t["id"] for t in doc["templates"] if not t["pattern"] and t["id"] != largest["id"])
+    now = sample.join(known.where(F.col("was") == lost).select("event_id"), "event_id", "left_anti")
+    new = sample.where("source = 'firewall'").limit(500).withColumn("body", F.parse_json(F.lit('{"a":{"b":1},"never":"seen"}')))
+    verdict, changes = plan.verified(json.dumps(doc), now.unionByName(new), synth.SOURCES, loaded.requirements, engine)
+    assert verdict == "out_of_date" and [d["template"] for d in changes["drifted"]] == [largest["id"]] and changes["drifted"][0]["lost"] >= 10
+    assert lost in changes["absent"] and [s for s, x in changes["unknown"].items() if x > 0] == ["firewall"] and not changes["removed"]
     assert synth.generate(spark, scale=3).drop("line").selectExpr("event_id", "to_json(body) as b").exceptAll(sample.selectExpr("event_id", "to_json(body) as b")).count() == 0
     sample.unpersist()
 
@@ -225,3 +235,19 @@ def test_stream_as_batch(spark, tmp_path):
 
 def test_sources_scope_rules():
     assert Source("x").event_type_fields()[0] == "EventID"
+
+
+def test_leaves_at_any_depth(spark):
+    deep = {"leaf": 1}
+    for i in range(20):
+        deep = {"k": deep, f"n{i}": [{"x": {}}]}
+    docs = [deep, {}, [1, 2], "text", {"a": {}, "b": {"c": {}}}, {"a.b": 1, "a": {"b": 2}}, {"s": "{{{ not an object", "n": None, "f": 3.5, "i": 3, "t": True, "l": [], "é": "ü"}, {"many": [{"o": {"p": i}} for i in range(50)]}]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(99, "no json")], "i int, t string").select("i", F.try_parse_json("t").alias("body"))
+    from quietlog.functions.leaves import with_leaves
+
+    got = {r.i: {k: (v.json, v.kind) for k, v in r.leaves.items()} for r in with_leaves(df).collect()}
+    assert got[0][".".join(["k"] * 20) + ".leaf"] == ("1", "int") and len(got[0]) == 21 and all(v[1] in ("int", "array") for v in got[0].values())
+    assert got[1] == got[2] == got[3] == got[4] == got[99] == {}
+    assert got[5] == {"a.b": ("2", "int")} or got[5] == {"a.b": ("1", "int")}
+    assert got[6] == {"s": ('"{{{ not an object"', "string"), "n": ("null", "null"), "f": ("3.5", "float"), "i": ("3", "int"), "t": ("true", "bool"), "l": ("[]", "array"), "é": ('"ü"', "string")}
+    assert got[7]["many"][1] == "array" and len(got[7]) == 1
