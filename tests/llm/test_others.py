@@ -412,6 +412,31 @@ def test_pipeline(spark, tmp_path):
     assert not any(x in r.text for r in docs.collect() for x in items)
 
 
+def test_pipeline_on_odd_rows(make, tmp_path):
+    clean = " ".join(f"stone{i} river{i}" for i in range(80))
+    other = " ".join(f"bird{i} cloud{i}" for i in range(80))
+    seven = " ".join(f"tree{i}" for i in range(120)) + " " + other
+    rows = [(1, None), (2, ""), (2, ""), (3, " \n"), (None, None), (5, clean), (5, clean), (6, clean.upper()), (7, seven), (8, other + " and out " + "z" * 3000), (None, "a few words only")]
+    docs = make(rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(docs.sparkSession, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        assert docs.sparkSession.read.parquet(f"{tmp_path}/{name}").columns == docs.columns
+        docs = docs.sparkSession.read.parquet(f"{tmp_path}/{name}")
+    left = {(r.doc_id, r.text): r for r in docs.collect()}
+    # One of the texts without words, one of the copies, 7 whole, 8 without what it shares with 7.
+    assert set(left) == {(1, None), (5, clean), (7, seven), (8, "and out " + "z" * 3000), (None, "a few words only")}
+    assert all(r.n_chars == (None if t is None else len(t)) and (r.did, r.th, r.spans) == (7, 8, "x") for (_, t), r in left.items())
+    assert sorted(repr(r.doc_id) for r in corpus_pipeline.packed(docs.sparkSession, docs, SF).collect() if r.piece == 0) == sorted(repr(d) for d, _ in left)
+    empty = make([])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(empty.sparkSession, empty, SF).collect() == []
+
+
+def test_empty_documents(spark, make):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert sharding.shard(make([]), 8).collect() == [] and toxicity.toxicity(make([]), labels).collect() == []
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_as_sql(spark, name):
     import duckdb
