@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietlog.functions.text import with_line_tokens
-from quietlog.store import written
+from quietlog.store import joined, written
 
 WILD, SIMILAR, CHILDREN, MAX_CATEGORIES = "<*>", 0.4, 100, 6
 #: Between the tokens of a line that travels as one string; no token holds it: it is white space to nobody, but masks leave it alone, so it is taken out first.
@@ -97,7 +97,7 @@ def routed(lines: DataFrame, children: int = CHILDREN) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("source", "length", "wild").orderBy("since", "first"))
     taken = place - 1 + F.when(F.col("wild_since") < F.col("since"), 1).otherwise(0)
     early = seen.withColumn("taken", taken).where(~F.col("wild") & (F.col("taken") + 1 < children)).select("source", "length", "first", F.col("first").alias("route"))
-    return df.join(early, ["source", "length", "first"], "left").withColumn("route", F.coalesce("route", F.lit(WILD))).drop("first")
+    return joined(df, written(early, "routes"), ["source", "length", "first"], "left").withColumn("route", F.coalesce("route", F.lit(WILD))).drop("first")
 
 
 GROUP = ["source", "length", "route"]
@@ -150,7 +150,7 @@ def clusters(lines: DataFrame) -> DataFrame:
     name = F.concat_ws(":", "source", F.substring(F.sha2(F.concat_ws("\x1f", "source", "length", "route", F.array_join("pattern", " ")), 256), 1, 12))
     # Two clusters of a group may end with one pattern; they are told apart by their number in the group.
     named = found.where("event_id is null").select(*GROUP, "cluster", "pattern", F.concat(name, F.lit("."), F.col("cluster").cast("string")).alias("cluster_id"))
-    rows = found.where("event_id is not null").drop("pattern").join(named, [*GROUP, "cluster"])
+    rows = joined(found.where("event_id is not null").drop("pattern"), written(named, "patterns"), [*GROUP, "cluster"])
     tokens = F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", JOINT))
     return rows.select("source", "event_id", "syslog", tokens.alias("tokens"), "cluster_id", "pattern")
 
@@ -167,7 +167,7 @@ def text_templates(lines: DataFrame) -> DataFrame:
     """(source, event_id, template_id, pattern, header): clusters with categorical wildcards filled in; header is syslog, none or mixed."""
     found = clusters(lines)
     at = categorical(found).groupBy("cluster_id").agg(F.collect_set("position").alias("positions"))
-    df = found.join(at, "cluster_id", "left").withColumn("pattern", F.expr("transform(pattern, (t, i) -> if(array_contains(coalesce(positions, array()), i), tokens[i], t))"))
+    df = joined(found, written(at, "categories"), ["cluster_id"], "left").withColumn("pattern", F.expr("transform(pattern, (t, i) -> if(array_contains(coalesce(positions, array()), i), tokens[i], t))"))
     df = df.withColumn("template_id", F.concat_ws(":", "source", F.substring(F.sha2(F.concat_ws("\x1f", "source", F.array_join("pattern", " ")), 256), 1, 12)))
     header = df.groupBy("template_id").agg(F.min("syslog").alias("lo"), F.max("syslog").alias("hi")).select("template_id", F.when(F.col("lo") != F.col("hi"), "mixed").when(F.col("hi"), "syslog").otherwise("none").alias("header"))
-    return df.join(header, "template_id").select("source", "event_id", "template_id", "pattern", "header")
+    return joined(df, written(header, "headers"), ["template_id"]).select("source", "event_id", "template_id", "pattern", "header")
