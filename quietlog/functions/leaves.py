@@ -14,7 +14,7 @@ LEAF = "struct<json:string,kind:string>"
 def kind_of(variant: str, json: str) -> str:
     """SQL of a leaf's kind, told by the first character of its JSON text; only of numbers the type is asked for."""
     return (
-        f"case substr({json}, 1, 1) when '\"' then 'string' when '[' then 'array' when 't' then 'bool' when 'f' then 'bool' when 'n' then 'null' "
+        f"case when startswith({json}, '\"') then 'string' when startswith({json}, '[') then 'array' when startswith({json}, 't') or startswith({json}, 'f') then 'bool' when startswith({json}, 'n') then 'null' "
         f"else if(schema_of_variant({variant}) in ('BIGINT', 'INT', 'SMALLINT', 'TINYINT'), 'int', 'float') end"
     )
 
@@ -25,25 +25,28 @@ def body(text: Column) -> Column:
 
 
 def flattened(variant: str) -> str:
-    """SQL of an array of (key, value) leaves.
+    """SQL of an array of (key, value, json) leaves.
 
     One pass replaces the objects among the entries by their members. A body cannot need more passes than it has opening braces, so their number bounds them, and
-    passes stop where no object is left: flat bodies cost nothing more."""
-    members = "transform(map_entries(try_cast(e.value as map<string, variant>)), c -> struct(concat(e.key, '.', c.key) as key, c.value as value))"
-    once = f"flatten(transform(acc.e, e -> coalesce({members}, array(struct(e.key as key, e.value as value)))))"
-    more = "exists({x}, e -> try_cast(e.value as map<string, variant>) is not null)"
-    step = f"if(acc.go, element_at(transform(array({once}), x -> struct({more.format(x='x')} as go, x as e)), 1), acc)"
-    entries = f"map_entries(try_cast({variant} as map<string, variant>))"
-    braces = f"(length(to_json({variant})) - length(replace(to_json({variant}), '{{', '')))"
-    # A lambda's start value must have the type of its steps to the letter, nullability too.
-    start = f"element_at(transform(array({entries}), x -> struct({more.format(x='x')} as go, transform(x, e -> struct(e.key as key, e.value as value)) as e)), 1)"
-    return f"if({braces} < 2, transform({entries}, e -> struct(e.key as key, e.value as value)), aggregate(sequence(2, greatest(2, {braces})), {start}, (acc, i) -> {step}).e)"
+    passes stop where no object is left: flat bodies cost nothing more. Each member's JSON text is made once and tells objects, kinds and leaves."""
+    entry = "struct({key} as key, c.value as value, to_json(c.value) as json)"
+    members = f"transform(map_entries(try_cast({{v}} as map<string, variant>)), c -> {entry})"
+    below = members.format(v="e.value", key="concat(e.key, '.', c.key)")
+    first = members.format(v=variant, key="c.key")
+    more = "exists({x}, e -> startswith(e.json, '{{'))"
+    once = f"flatten(transform(acc.e, e -> if(startswith(e.json, '{{'), coalesce({below}, array()), array(e))))"
+    go = f"x -> struct({more.format(x='x')} as go, x as e)"
+    step = f"if(acc.go, element_at(transform(array({once}), {go}), 1), acc)"
+    # Only members that are objects have braces to count.
+    braces = "aggregate(x, 0, (n, e) -> if(startswith(e.json, '{'), n + length(e.json) - length(replace(e.json, '{', '')), n))"
+    passes = f"aggregate(sequence(1, {braces}), struct(true as go, x as e), (acc, i) -> {step}).e"
+    return f"element_at(transform(array({first}), x -> if({more.format(x='x')}, {passes}, x)), 1)"
 
 
 def with_leaves(df: DataFrame, variant: str = "body", to: str = "leaves") -> DataFrame:
     """df with a map of leaves; an empty map for what is no object. Of two members with one path the later counts."""
     df = df.withColumn(to, F.expr(f"coalesce({flattened(variant)}, array())"))
-    df = df.withColumn(to, F.expr(f"transform(transform({to}, e -> struct(e.key as key, e.value as value, to_json(e.value) as json)), e -> struct(e.key as key, struct(e.json as json, {kind_of('e.value', 'e.json')} as kind) as value))"))
+    df = df.withColumn(to, F.expr(f"transform({to}, e -> struct(e.key as key, struct(e.json as json, {kind_of('e.value', 'e.json')} as kind) as value))"))
     last = f"filter({to}, (e, i) -> not exists(slice({to}, i + 2, size({to})), n -> n.key = e.key))"
     made = F.expr(f"map_from_entries(if(size(array_distinct({to}.key)) = size({to}), {to}, {last}))")
     # The optimizer would copy this into every predicate on the leaves and flatten the body once for each; it moves nothing past what it cannot foresee.
@@ -60,10 +63,15 @@ def member_size(path: str, json: str) -> str:
     return f"cast(octet_length(to_json(struct(element_at(split({path}, '[.]'), -1) as k))) - 5 + octet_length({json}) + 1 as bigint)"
 
 
+def text_of(json: str) -> str:
+    """SQL of the text that a JSON string stands for; only one with escapes needs a parser. Of other JSON its text."""
+    return f"if(startswith({json}, '\"') and not contains({json}, char(92)), substring({json}, 2, length({json}) - 2), get_json_object(concat('[', {json}, ']'), '$[0]'))"
+
+
 def rendered(leaf: str) -> str:
     """SQL of a discriminator's text: strings as they are, whole floats without .0, null and arrays empty."""
     return (
-        f"case {leaf}.kind when 'string' then get_json_object(concat('[', {leaf}.json, ']'), '$[0]') when 'float' then "
+        f"case {leaf}.kind when 'string' then {text_of(f'{leaf}.json')} when 'float' then "
         f"if(try_cast({leaf}.json as double) = floor(try_cast({leaf}.json as double)) and abs(try_cast({leaf}.json as double)) < 1e15, cast(cast(try_cast({leaf}.json as double) as bigint) as string), {leaf}.json) "
         f"when 'int' then {leaf}.json when 'bool' then {leaf}.json else '' end"
     )
@@ -71,7 +79,7 @@ def rendered(leaf: str) -> str:
 
 def string_of(leaf: str) -> str:
     """SQL of a string leaf's text, or of any other leaf's JSON text."""
-    return f"if({leaf}.kind = 'string', get_json_object(concat('[', {leaf}.json, ']'), '$[0]'), {leaf}.json)"
+    return f"if({leaf}.kind = 'string', {text_of(f'{leaf}.json')}, {leaf}.json)"
 
 
 def keyset(leaves: str = "leaves") -> Column:

@@ -206,7 +206,12 @@ def compiled(p: Predicate, leaves: str = "leaves", wide: bool = True) -> Column:
         return _balanced([compiled(q, leaves, wide) for q in p.of], lambda a, b: a & b) if p.of else F.lit(True)
     if isinstance(p, Not):
         return ~compiled(p.of, leaves, wide)
-    strings = lambda j: F.get_json_object(F.concat(F.lit("["), j, F.lit("]")), "$[0]")
+
+    def strings(j: Column) -> Column:
+        """The text of a JSON string; only one with escapes needs a parser. Of an array its JSON text."""
+        parsed = F.get_json_object(F.concat(F.lit("["), j, F.lit("]")), "$[0]")
+        return F.when(F.startswith(j, F.lit('"')) & ~F.contains(j, F.lit("\\")), F.substring(j, F.lit(2), F.length(j) - 2)).otherwise(parsed)
+
     if isinstance(p, Words):
         eager = F.lit(wide and any(map(_number_like, p.values)))
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 
 from quietlog.model import Effective
 from quietlog.operators.reduce import reduced
+from quietlog.store import written
+
+
+def flattened_once(events: DataFrame) -> DataFrame:
+    """events written without what is only made of their bodies: rules see leaves, and a proof asks them on all events, on what is forwarded, and again after each rollback."""
+    return written(events.drop("body", "keyset", "discr", "bytes"), "events")
 
 
 def compared(full: DataFrame, forwarded: DataFrame) -> DataFrame:
@@ -41,7 +47,8 @@ class Proof:
 def select_proven(events: DataFrame, plans: Mapping[str, Effective], engine: Callable[[DataFrame], DataFrame]) -> Proof:
     """The largest part of plans under which alerts are unchanged. events: assigned events. Each round evaluates the rules once on what would be forwarded; templates
     of changed events go back to passing through; then, if none of those reduces, all of their sources; then everything.
-    Only names of templates and sources to roll back reach the driver."""
+    The events are flattened once; engine sees their event_id, ts, source, template_id and leaves, not their bodies. Only names of templates and sources to roll back reach the driver."""
+    events = flattened_once(events)
     left = dict(plans)
     full = engine(events).select("rule", "event_id").distinct().persist()
     gone: list[str] = []
