@@ -11,6 +11,7 @@ from quietlog.functions.leaves import encoded_size, keyset, rendered, string_of,
 from quietlog.functions.text import pattern_regex
 from quietlog.model import RARE_EVENTS, RARE_PPM, Source, Template
 from quietlog.operators.drain import text_templates
+from quietlog.store import joined, written
 
 FREE_TEXT_BYTES = 40
 
@@ -57,6 +58,11 @@ def kinds(shapes_found: DataFrame) -> DataFrame:
     )
 
 
+def kinds_of(prepared_events: DataFrame) -> DataFrame:
+    """kinds() of the events, written once: what asks for them again does not read the events again."""
+    return written(kinds(shapes(prepared_events)), "kinds")
+
+
 def template_volumes(kinds_found: DataFrame) -> DataFrame:
     """One row per template, its share of its source in parts per million rounded down."""
     one = kinds_found.groupBy("template_id", "source", "discr").agg(*(F.first(c).alias(c) for c in ("events", "bytes", "source_events", "is_rare")), F.count(F.lit(1)).alias("variants"))
@@ -64,8 +70,10 @@ def template_volumes(kinds_found: DataFrame) -> DataFrame:
 
 
 def assigned(prepared_events: DataFrame, kinds_found: DataFrame) -> DataFrame:
-    """Events with template_id, by a hash join on the shape; an unknown shape has null and is passed through."""
-    return prepared_events.join(kinds_found.select("source", "discr", "keyset", "template_id"), ["source", "discr", "keyset"], "left")
+    """Events with template_id, by a hash join on the shape; an unknown shape has null and is passed through. kinds_found: a written table.
+
+    Shapes are few and events many: sorted by shape, all events would meet in a handful of tasks."""
+    return joined(prepared_events, kinds_found.select("source", "discr", "keyset", "template_id"), ["source", "discr", "keyset"], "left")
 
 
 def free_text_fields(prepared_events: DataFrame, group: tuple[str, ...] = ("source",)) -> DataFrame:
@@ -96,7 +104,7 @@ def discovered(prepared_events: DataFrame, sources: Sequence[Source]) -> DataFra
     text = [s for s in sources if s.text_field]
     df = prepared_events.withColumn("line", line_of(sources))
     shaped = df.where("line is null") if text else df
-    out = assigned(shaped, kinds(shapes(shaped))).withColumns({"pattern": F.lit(None).cast("array<string>"), "header": F.lit(None).cast("string")})
+    out = assigned(shaped, kinds_of(shaped)).withColumns({"pattern": F.lit(None).cast("array<string>"), "header": F.lit(None).cast("string")})
     if text:
         lines = df.where("line is not null")
         found = text_templates(lines.select("source", "event_id", F.col("line").alias("text")))

@@ -16,6 +16,7 @@ from quietlog.operators.reduce import reduced, summaries, volumes, with_bodies
 from quietlog.plans import recipes, verify
 from quietlog.queries import BODY, BURST, EVENTS, FORWARDED, ORACLE_SQL, OUT_BODY, PLANS, RULES, K, applied, mined, prepared, query, spread, table, with_template
 from quietlog.rules import kibana, kusto, sigma, spl, wazuh
+from quietlog.store import written
 
 VALUE = "cast(cast(value as decimal(18,2)) as varchar)"
 USER = "cast(user_id as varchar)"
@@ -26,6 +27,11 @@ def passing(spark, sf_dir, p: P.Predicate) -> DataFrame:
     return prepared(spark, sf_dir).where(P.compiled(p)).select("event_id")
 
 
+def prepared_once(spark, sf_dir) -> DataFrame:
+    """prepared() written once: discovery and what follows it both go over the events."""
+    return written(prepared(spark, sf_dir), "prepared")
+
+
 @query(f"select event_id from events where (event_type like '%error%' or event_type like '%pur%') and {USER} like '%7%'")
 def rule_kibana_kql(spark, sf_dir):
     """A Kibana query's bound: values may be analysed, so they are sought anywhere in the field."""
@@ -140,8 +146,8 @@ def correlation_less_than(spark, sf_dir):
 @query("select event_id, 'event_type=' || event_type as discr from events")
 def assigned_events(spark, sf_dir):
     """Discovery and assignment: every event with the template its shape belongs to."""
-    df = prepared(spark, sf_dir)
-    kinds = templates.kinds(templates.shapes(df))
+    df = prepared_once(spark, sf_dir)
+    kinds = templates.kinds_of(df)
     names = kinds.select("template_id", F.col("discr").alias("of_template")).distinct()
     return templates.assigned(df, kinds).select("event_id", "template_id").join(names, "template_id").select("event_id", F.col("of_template").alias("discr"))
 
@@ -149,7 +155,7 @@ def assigned_events(spark, sf_dir):
 def discovered_plans(spark, sf_dir):
     """(events with discovered templates, plans of discovered templates): what PLANS says, by template instead of event type."""
     df = prepared(spark, sf_dir)
-    kinds = templates.kinds(templates.shapes(df))
+    kinds = templates.kinds_of(df)
     names = {r.discr.partition("=")[2]: r.template_id for r in kinds.select("discr", "template_id").distinct().collect()}  # templates, not events
     plans = {names[t]: Effective(names[t], p.drop_fields, p.empty_except, p.implied, p.keep_whole_when, p.forward_when, p.summary_keys) for t, p in PLANS.items() if t in names}
     return templates.assigned(df, kinds), plans
@@ -278,8 +284,8 @@ NEEDS = [
 @query(f"""select event_id, case when event_type = 'click' and not {VALUE} like '1%' then '{{"event_type":"click","user_id":' || user_id || '}}' else {BODY} end as out_body from events where event_type <> 'view' or user_id = 7""")
 def guarded_forward_bodies(spark, sf_dir):
     """From discovery over recipes and the guard to what is forwarded: views that rule user-7 can match, and clicks whole where rule cheap-clicks may match, else without the fields the recipe names."""
-    df = prepared(spark, sf_dir)
-    kinds = templates.kinds(templates.shapes(df))
+    df = prepared_once(spark, sf_dir)
+    kinds = templates.kinds_of(df)
     rows = kinds.groupBy("template_id", "discr", "events", "bytes", "source_events").agg(F.collect_list("keyset").alias("keysets")).collect()  # templates, not events
     known = [Template(r.template_id, "events", EVENTS.logsource, discriminators=(tuple(r.discr.split("=", 1)),), variants=tuple(tuple(k.split("\n")) for k in r.keysets), events=r.events, bytes=r.bytes, source_events=r.source_events) for r in rows]
     found, _ = recipes.resolve(recipes.book([BOOK]), known)
