@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quietlog.functions import predicate as P
 from quietlog.functions.leaves import rebuilt, removed_members, shells
 from quietlog.model import WINDOW_SECONDS, Effective, Implied, covers
+from quietlog.store import written
 
 EMPTY_MAP = "cast(map() as map<string, struct<json:string,kind:string>>)"
 
@@ -78,6 +79,13 @@ def with_bodies(reduced_events: DataFrame) -> DataFrame:
     return reduced_events.withColumn("out_body", F.when(same, F.to_json("body")).otherwise(F.expr(rebuilt("kept")))).withColumn("removed", F.expr(removed_members())).withColumn("shells", F.expr(shells()))
 
 
+def sized(bodies: DataFrame) -> DataFrame:
+    """What accounting asks of with_bodies(), without the bodies, written once: summaries(), volumes(), removals() and saved_by_mode() on it do not reduce the events again."""
+    out = F.when(F.col("route") == "forward", F.octet_length("out_body")).otherwise(0).cast("long")
+    removed = F.when(F.col("route") == "forward", F.transform("removed", lambda r: F.struct(r["path"].alias("path"), r["bytes"].alias("bytes"))))
+    return written(bodies.select("source", "template_id", "ts", "route", "summary_keys", F.octet_length(F.to_json("body")).cast("long").alias("bytes_in"), out.alias("bytes_out"), removed.alias("removed")), "sized")
+
+
 def window_of(ts: str = "ts") -> Column:
     """The minute, as the floor of epoch seconds over 60, for times before 1970 too."""
     return F.floor(F.unix_timestamp(ts) / WINDOW_SECONDS).cast("long")
@@ -95,10 +103,11 @@ def summary_bytes(summed: DataFrame) -> DataFrame:
 
 
 def volumes(bodies: DataFrame, summed: DataFrame) -> DataFrame:
-    """Per template, and in total (template_id null): events, forwarded, summarized, summaries, bytes_in, bytes_out."""
+    """Per template, and in total (template_id null): events, forwarded, summarized, summaries, bytes_in, bytes_out. bodies: with_bodies(), or sized() of it."""
     inside = F.coalesce("template_id", F.lit("unknown"))
-    size = F.when(F.col("route") == "forward", F.octet_length("out_body")).otherwise(0)
-    one = bodies.select(inside.alias("template_id"), F.lit(1).alias("events"), (F.col("route") == "forward").cast("long").alias("forwarded"), F.octet_length(F.to_json("body")).cast("long").alias("bytes_in"), size.cast("long").alias("bytes_out"), F.lit(0).cast("long").alias("summaries"))
+    size = F.when(F.col("route") == "forward", F.octet_length("out_body")).otherwise(0).cast("long")
+    sizes = ["bytes_in", "bytes_out"] if "bytes_in" in bodies.columns else [F.octet_length(F.to_json("body")).cast("long").alias("bytes_in"), size.alias("bytes_out")]
+    one = bodies.select(inside.alias("template_id"), F.lit(1).alias("events"), (F.col("route") == "forward").cast("long").alias("forwarded"), *sizes, F.lit(0).cast("long").alias("summaries"))
     two = summary_bytes(summed).select("template_id", F.lit(0).alias("events"), F.lit(0).cast("long").alias("forwarded"), F.lit(0).cast("long").alias("bytes_in"), F.col("bytes").alias("bytes_out"), F.lit(1).cast("long").alias("summaries"))
     out = one.unionByName(two).rollup("template_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("events", "forwarded", "summaries", "bytes_in", "bytes_out")))
     return out.withColumn("summarized", F.col("events") - F.col("forwarded"))
@@ -132,4 +141,4 @@ def rebuild(reduced_events: DataFrame, plans: Mapping[str, Effective] | Sequence
     return df
 
 
-__all__ = ["covers", "kept_leaves", "rebuild", "reduced", "removals", "summaries", "summary_value", "volumes", "window_of", "with_bodies"]
+__all__ = ["covers", "kept_leaves", "rebuild", "reduced", "removals", "sized", "summaries", "summary_value", "volumes", "window_of", "with_bodies"]

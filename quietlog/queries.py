@@ -12,7 +12,7 @@ from quietlog.model import Effective, Implied, LogSource, Source
 from quietlog.operators import accounting, implied, proof, templates
 from quietlog.operators.alerts import Correlation, Rule, alerts
 from quietlog.operators.drain import text_templates
-from quietlog.operators.reduce import rebuild, reduced, removals, summaries, volumes, with_bodies
+from quietlog.operators.reduce import rebuild, reduced, removals, sized, summaries, volumes, with_bodies
 from quietlog.plans import verify
 
 QUERIES: dict = {}
@@ -149,7 +149,7 @@ select event_type, cast(count(*) as bigint) as events, cast(count(*) filter ({FO
 from events group by rollup(event_type)""")
 def rollup_volumes(spark, sf_dir):
     """Volumes per template and in total."""
-    bodies = applied(spark, sf_dir)
+    bodies = sized(applied(spark, sf_dir))
     return volumes(bodies, summaries(bodies)).select(F.col("template_id").alias("event_type"), "events", "forwarded", "summarized", "bytes_in")
 
 

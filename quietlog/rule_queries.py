@@ -12,7 +12,7 @@ from quietlog.operators import accounting, implied, proof, templates
 from quietlog.operators.alerts import alerts, numbered_rows
 from quietlog.operators.drain import text_templates
 from quietlog.operators.guard import Requirement, guard
-from quietlog.operators.reduce import reduced, summaries, volumes, with_bodies
+from quietlog.operators.reduce import reduced, sized, summaries, volumes, with_bodies
 from quietlog.plans import recipes, verify
 from quietlog.queries import BODY, BURST, EVENTS, FORWARDED, ORACLE_SQL, OUT_BODY, PLANS, RULES, K, applied, mined, prepared, query, spread, table, with_template
 from quietlog.rules import kibana, kusto, sigma, spl, wazuh
@@ -240,7 +240,7 @@ r as (select template_id t, sum(bytes) b from ({ORACLE_SQL['removed_bytes_by_fie
 @query(f"with {RECORDS} select t as template_id, bytes_in, bytes_out from w")
 def bytes_by_template(spark, sf_dir):
     """Bytes before and after, summaries counted."""
-    bodies = applied(spark, sf_dir)
+    bodies = sized(applied(spark, sf_dir))
     return volumes(bodies, summaries(bodies)).where("template_id is not null").select("template_id", "bytes_in", "bytes_out")
 
 
@@ -249,7 +249,7 @@ y as (select *, least(by_implied, total) im from x), z as (select *, least(by_fi
 select t as template_id, cast(total as bigint) as total, cast(du as bigint) as duplicates, cast(im as bigint) as implied, cast(total - im - du as bigint) as counts from z""")
 def saved_by_mode(spark, sf_dir):
     """Savings by mode; the clicks' value stands for an implied one."""
-    bodies = applied(spark, sf_dir)
+    bodies = sized(applied(spark, sf_dir))
     return accounting.saved_by_mode(bodies, volumes(bodies, summaries(bodies)), {"click": ["value"]})
 
 
@@ -257,7 +257,7 @@ def saved_by_mode(spark, sf_dir):
 select arrangement, round(case arrangement when 'everything' then a * 4.3 when 'reduced' then b * 4.3 when 'reduced_and_lake' then b * 4.3 + a * 0.15 else b * 4.3 + (a - b) * 0.15 end, 6) as cost
 from g, (values ('everything'), ('reduced'), ('reduced_and_lake'), ('routed_and_lake')) v(arrangement)""")
 def tier_costs(spark, sf_dir):
-    bodies = applied(spark, sf_dir)
+    bodies = sized(applied(spark, sf_dir))
     return accounting.tier_costs(volumes(bodies, summaries(bodies)))
 
 

@@ -32,7 +32,7 @@ def test_lines_do_not_pass_through_the_driver(spark, monkeypatch):
     assert again == rows and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["proof_rollback", "guarded_forward_bodies", "assigned_events", "discovered_forward_bodies", "proof_missing_extra"])
+@pytest.mark.parametrize("name", ["proof_rollback", "guarded_forward_bodies", "assigned_events", "discovered_forward_bodies", "proof_missing_extra", "saved_by_mode", "bytes_by_template", "tier_costs", "rollup_volumes"])
 def test_events_are_read_once(spark, monkeypatch, name):
     seen = spark.sparkContext.accumulator(0)
 
